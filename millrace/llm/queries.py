@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import block_knn, line_crf, mixing, sentencepiece_bpe, url_filter, wordpiece_count
+from millrace.llm import block_knn, line_crf, mixing, partenum, sentencepiece_bpe, url_filter, wordpiece_count
 from millrace.llm._common import table
 
 #: The tokenizer file of op1 and op6; a parameter of the operators.
@@ -33,6 +33,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"), percent=80, k=5)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -44,8 +48,8 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_block_knn, op6_wordpiece_count, op7_source_mix, op9_url_filter, op10_line_crf)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_block_knn, op6_wordpiece_count, op7_source_mix, op8_partenum, op9_url_filter, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_block_knn": block_knn.ORACLE, "op7_source_mix": mixing.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op5_block_knn": block_knn.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_partenum": partenum.ORACLE, "op9_url_filter": url_filter.ORACLE}
