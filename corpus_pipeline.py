@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import line_crf, mixing, sentencepiece_bpe
+from millrace.llm import line_crf, mixing, partenum, sentencepiece_bpe, site_quality
 from millrace.llm._common import table
 from millrace.llm.queries import PIECES
 
@@ -17,6 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return line_crf.filter_documents(docs, weights, transitions)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier and their site's posterior reject go."""
+    model = site_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return site_quality.drop_rejected(docs, site_quality.classify(docs, model, F.col("source"), F.col("lang")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id."""
+    return partenum.keep_one(docs, percent=80, k=5)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.expand(mixing.systematic_mix(docs), docs.columns)
@@ -27,7 +39,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(docs, PIECES, with_ids=True)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mix_sources), ("tokens", tokenize)]
+STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]
 
 #: The stages that fit a model can't be written in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import checkpoint, ship, split_words
+from millrace.llm._common import checkpoint, join_small, ship, split_words
 from millrace.llm.components import connected_components
 
 #: Members of a signature group that are compared in one task; larger groups are dealt out in chunks of this size.
@@ -397,10 +397,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` but for those of a component that have a smaller doc_id in it; of repeated rows one stays."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    """The rows of ``docs``, but of each component only the document with the smallest doc_id, and of rows with one id only one.
+    Rows without id stay. Ids to leave out are usually few; only if they are many are the texts shuffled."""
+    found = checkpoint(near_duplicates(docs, id_col=id_col, **options))
+    gone = checkpoint(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
+    left = join_small(docs, gone, [id_col], "left_anti")
+    again = checkpoint(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    if again.isEmpty():
+        return left
+    once = join_small(left, again, [id_col], "left_semi").dropDuplicates([id_col])
+    return join_small(left, again, [id_col], "left_anti").unionByName(once)
 
 
 #: The same in DuckDB SQL, for op8's parameters.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import block_knn, line_crf, mixing, partenum, sentencepiece_bpe, url_filter, wordpiece_count
+from millrace.llm import block_knn, line_crf, lm_scoring, mixing, partenum, preference, sentencepiece_bpe, site_quality, url_filter, wordpiece_count
 from millrace.llm._common import table
 
 #: The tokenizer file of op1 and op6; a parameter of the operators.
@@ -19,6 +19,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.with_negative_replies(table(spark, sf_dir, "conversations")))
+
+
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = site_quality.train(docs, table(spark, sf_dir, "labels"))
+    return site_quality.classify(docs, model, F.col("source"), F.col("lang"))
+
+
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(table(spark, sf_dir, "benchmark"), docs))
+
+
 def op5_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -48,8 +63,8 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_block_knn, op6_wordpiece_count, op7_source_mix, op8_partenum, op9_url_filter, op10_line_crf)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_preference_format, op3_site_quality, op4_cross_entropy, op5_block_knn, op6_wordpiece_count, op7_source_mix, op8_partenum, op9_url_filter, op10_line_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_block_knn": block_knn.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_partenum": partenum.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op2_preference_format": preference.ORACLE, "op5_block_knn": block_knn.ORACLE, "op7_source_mix": mixing.ORACLE, "op8_partenum": partenum.ORACLE, "op9_url_filter": url_filter.ORACLE}
