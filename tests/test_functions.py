@@ -1,0 +1,149 @@
+"""Functions and operators on literals, nulls and edge values."""
+
+import hashlib
+import hmac
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace import functions as fn
+from millrace import types
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+L = F.lit
+
+
+def money(x):
+    return types.money(F.lit(x))
+
+
+def cases():
+    NULL, NULLI = L(None).cast("string"), L(None).cast("int")
+    return {
+        "compare_null": (fn.compare(NULLI, "=", L(1)), False),
+        "not_compare_null": (fn.negate(fn.compare(NULLI, "=", L(1))), True),
+        "in_null": (fn.in_list(NULLI, [1]), None),
+        "in_list_null": (fn.in_list(L(2), [1, None]), False),
+        "in_empty": (fn.in_list(L(2), []), False),
+        "int_divide": (fn.divide(L(-5), L(2)), -2),
+        "double_divide": (fn.divide(L(5), L(2.0), ("integer", "double")), 2.5),
+        "money_by_int": (fn.divide(money("5.00"), L(2), ("money", "integer")), Decimal("2.5000")),
+        "money_by_int_cut": (fn.divide(money("-1.00"), L(3), ("money", "integer")), Decimal("-0.3333")),
+        "money_by_double": (fn.divide(money("5.00"), L(2.0), ("money", "double")), Decimal("2.5000")),
+        "money_by_money": (fn.divide(money("5.00"), money("2.00"), ("money", "money")), 2.5),
+        "divide_null": (fn.divide(L(2), NULLI), None),
+        "money_times": (fn.multiply(money("1.1"), L(3), ("money", "integer")), Decimal("3.3000")),
+        "money_plus": (fn.add(money("1.1"), L(3), ("money", "integer")), Decimal("4.1000")),
+        "money_minus": (fn.subtract(L(3), money("1.1"), ("integer", "money")), Decimal("1.9000")),
+        "text_plus": (fn.add_text(L("ab  "), L(1)), "ab1"),
+        "text_plus_literal": (fn.add_text(L("ab "), L(1), column=False), "ab 1"),
+        "text_minus": (fn.subtract_text(L("abc"), L("bc")), "a"),
+        "text_minus_other": (fn.subtract_text(L("abc"), L("ab")), "abc"),
+        "text_minus_longer": (fn.subtract_text(L("b"), L("abc")), "b"),
+        "text_minus_null": (fn.subtract_text(L("b"), NULL), None),
+        "text_times": (fn.repeat_text(L("ab"), L(3)), "ababab"),
+        "ascii_empty": (fn.ascii(L("")), None),
+        "ascii": (fn.ascii(L("A")), 65),
+        "charindex": (fn.charindex(L("b"), L("abc")), 2),
+        "charindex_none": (fn.charindex(L("x"), L("abc")), 0),
+        "upper": (fn.upper(L("aé")), "Aé"),
+        "lower": (fn.lower(L("AÉ")), "aÉ"),
+        "mixed": (fn.mixed(L("o'NEILL and JEAN-luc 3rd st")), "O'neill And Jean-luc 3Rd St"),
+        "mixed_words": (fn.mixed(L("ACME LLC mcdonald MCD"), "LLC,Mc*"), "Acme LLC McDonald Mcd"),
+        "mixed_null": (fn.mixed(NULL), None),
+        "char_length": (fn.char_length(L("é")), 1),
+        "byte_length": (fn.byte_length(L("é")), 2),
+        "octet_length": (fn.octet_length(L(1), "integer"), 4),
+        "lztrim": (fn.lztrim(L("00120")), "120"),
+        "lztrim_zero": (fn.lztrim(L("000")), "0"),
+        "substring": (fn.substring(L("abcdef"), L(-1), L(2)), "ab"),
+        "substring_negative": (fn.substring(L("abcdef"), L(2), L(-2)), ""),
+        "substring_rest": (fn.substring(L("abcdef"), L(4)), "def"),
+        "right": (fn.right(L("abc"), L(-1)), ""),
+        "ralign": (fn.ralign(L("ab"), L(4)), "  ab"),
+        "ralign_long": (fn.ralign(L("abcde"), L(4)), "abcde"),
+        "replicate": (fn.replicate(L("a"), L(300)), "a" * 255),
+        "replicate_negative": (fn.replicate(L("a"), L(-1)), None),
+        "replace_null": (fn.replace(L("abc"), L("b"), NULL), "ac"),
+        "replace_empty": (fn.replace(L("abc"), L(""), L("x")), "abc"),
+        "escape": (fn.escape(L("a'b\\"), "'"), "a\\'b\\\\"),
+        "quote": (fn.quote(L('a"b')), '"a\\"b"'),
+        "wordify": (fn.wordify(L(1021)), "One Thousand Twenty-One"),
+        "wordify_zero": (fn.wordify(L(0)), "Zero"),
+        "wordify_negative": (fn.wordify(L(-120)), "Negative One Hundred Twenty"),
+        "wordify_money": (fn.wordify(money("21.01"), "money"), "Twenty-One and 01/100"),
+        "lev": (fn.levenshtein(L("kitten"), L("sitting")), 3),
+        "lev_compare_empty": (fn.lev_compare(L(""), L("a")), 0.5),
+        "lev_compare_inserts": (fn.lev_compare(L("hello"), L("hello!")), 1 - 1 / 12),
+        "cos_same": (fn.cos_compare(L("hello"), L("hello")), 1.0),
+        "cos_null": (fn.cos_compare(L("hello"), NULL), None),
+        "hex": (fn.to_hex(L("az")), "617a"),
+        "unhex": (fn.from_hex(L("617a")), "az"),
+        "b64": (fn.from_base64(fn.to_base64(L("hé"))), "hé"),
+        "round": (fn.round_(L(2.5)), 3.0),
+        "round_negative": (fn.round_(L(-2.5)), -3.0),
+        "truncate": (fn.truncate(L(123.123), 3), 123.123),
+        "truncate_tens": (fn.truncate(L(-123), -2, "integer"), -100),
+        "constrain": (fn.constrain(L(7), NULLI, L(5)), 5),
+        "constrain_null": (fn.constrain(NULLI, L(1), L(5)), None),
+        "power": (fn.power(L(2), L(3)), 8.0),
+        "condition_null": (fn.condition(F.lit(None).cast("boolean"), L(1), L(2)), None),
+        "condition": (fn.condition(L(False), L(1), L(2)), 2),
+        "nullif_null": (fn.nullif(L(1), NULLI), None),
+        "nullif": (fn.nullif(L(1), L(2)), 1),
+        "hash": (fn.hash_("sha512", L("a")), hashlib.sha512(b"a").hexdigest()),
+        "hmac": (fn.hmac("sha1", L("a"), L("k")), hmac.new(b"k", b"a", "sha1").hexdigest()),
+        "pbkdf2": (fn.pbkdf2("sha256", L("a"), L("s"), 5, 8), hashlib.pbkdf2_hmac("sha256", b"a", b"s", 5, 8).hex()),
+        "datediff_month": (fn.datediff("month", L("2024-01-31").cast("timestamp_ntz"), L("2024-02-01").cast("timestamp_ntz")), 1),
+        "datediff_hour_back": (fn.datediff("hour", L("2024-01-01 02:01:00").cast("timestamp_ntz"), L("2024-01-01 00:59:00").cast("timestamp_ntz")), -2),
+        "dateadd_clamp": (F.date_format(fn.dateadd("month", L(1), L("2024-01-31").cast("timestamp_ntz")), "yyyy-MM-dd"), "2024-02-29"),
+        "weekday": (fn.datepart("weekday", L("2024-06-02").cast("timestamp_ntz")), 1),
+        "dateformat": (fn.dateformat(L("2024-06-02 15:04:05").cast("timestamp_ntz"), "ddd MMM yyyy, HH:mm:ss"), "2nd Jun 2024, 15:04:05"),
+        "dateformat_pm": (fn.dateformat(L("2024-06-02 15:04:05").cast("timestamp_ntz"), "hh:mm"), "03:04PM"),
+        "moneyformat": (fn.moneyformat(money("-1234.5"), "$#,##0.00"), "-$1,234.50"),
+        "moneyformat_brackets": (fn.moneyformat(money("-0.5"), "($0.00)"), "($0.50)"),
+        "convert_hex": (types.convert("integer", L(" 0x1F")), 31),
+        "convert_octal": (types.convert("integer", L("-017")), -15),
+        "convert_junk": (types.convert("integer", L("abc")), 0),
+        "convert_lead": (types.convert("integer", L("12abc")), 12),
+        "convert_money_cut": (types.convert("integer", money("-1.9"), "money"), -1),
+        "convert_double": (types.convert("double", L("-1.5e2x")), -150.0),
+        "convert_money": (types.convert("money", L("$12.34")), Decimal("12.3400")),
+        "convert_null": (types.convert("integer", NULL), None),
+    }
+
+
+def test_values(spark):
+    expected = cases()
+    row = spark.range(1).select(*[column.alias(name) for name, (column, _) in expected.items()]).first()
+    assert {n: row[n] for n in expected} == {n: v for n, (_, v) in expected.items()}
+
+
+def test_errors(spark):
+    with pytest.raises(Exception, match="divide by zero"):
+        value(spark, fn.divide(L(1), L(0)))
+    with pytest.raises(TypeError):
+        fn.multiply(money("1"), money("2"), ("money", "money"))
+    with pytest.raises(Exception, match="not allowed"):
+        value(spark, fn.escape(L("a|b"), "'", "|"))
+
+
+def test_cosine_ranges(spark):
+    assert 0.890 <= value(spark, fn.cos_compare(L("hello"), L("hello world"))) <= 0.891
+    assert 0.935 <= value(spark, fn.cos_compare(L("hello"), L("hellow"))) <= 0.936
+    assert value(spark, fn.cos_compare(L("hello"), L("nancy"))) <= 0.001
+
+
+def test_substitute(spark):
+    df = spark.createDataFrame([("Black", "", 0, 5), (None, "x", 3, None)], "color string, note string, n int, m int")
+    cells = {c: F.col(c) for c in df.columns}
+    template = "[:color]|[+:note]has [:note][/]|[-:n]none[/-:n]|[?:m=5]five[/?]|[+:n,:m]some[/+]"
+    out = fn.substitute(template, cells, dict(df.dtypes))
+    assert [r[0] for r in df.select(out).collect()] == ["Black||none|five|some", "|has x|||some"]
+    with pytest.raises(ValueError):
+        fn.substitute("[:nothing]", cells)
