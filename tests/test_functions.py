@@ -134,9 +134,10 @@ def test_errors(spark):
 
 
 def test_cosine_ranges(spark):
-    assert 0.890 <= value(spark, fn.cos_compare(L("hello"), L("hello world"))) <= 0.891
-    assert 0.935 <= value(spark, fn.cos_compare(L("hello"), L("hellow"))) <= 0.936
-    assert value(spark, fn.cos_compare(L("hello"), L("nancy"))) <= 0.001
+    a, b, c = "Cynthia Adams; cynthiaadams@gmail.com; 720-769-1293", "Timothy Adams; thetbear@gmail.com; 720-891-1470", "Lance Freson; lancetheturtle@gmail.com; 720-111-8189"
+    assert 0.49 <= value(spark, fn.cos_compare(L(a), L(b))) <= 0.54
+    assert 0.425 <= value(spark, fn.cos_compare(L(b), L(c))) <= 0.475
+    assert value(spark, fn.cos_compare(L("Samuel"), L("Alex"))) <= 0.025
 
 
 def test_substitute(spark):
