@@ -28,6 +28,7 @@ class Catalog:
         self._sources: dict[str, Callable[[], DataFrame]] = {}
         self._queries: dict[str, StoredQuery] = {}
         self._collections: dict[str, DataFrame] = {}
+        self.variables: dict[str, dict[str, object]] = {}
 
     def source(self, path: str, reader: Callable[[], DataFrame]) -> None:
         self._sources[path] = reader
@@ -72,6 +73,25 @@ class Catalog:
         out = self.spark.sql(q.text, args=args)
         return out if criteria is None else out.where(criteria)
 
+    def value(self, path: str, attribute: str) -> Column:
+        """One attribute of the first row at a path, as a constant for other queries; null if there is none."""
+        row = self.open(path).select(attribute).head()
+        return F.lit(None if row is None else row[0])
+
+    # -- objects of variables
+
+    def declare_object(self, name: str) -> None:
+        self.variables[name] = {}
+
+    def assign(self, name: str, df: DataFrame, order: Column) -> None:
+        """Set an object's variables to the values of a query's last row by ``order``. Only that row comes to the driver; no row changes nothing."""
+        row = df.orderBy(order.desc()).head()
+        if row is not None:
+            self.variables[name].update(row.asDict())
+
+    def variable(self, name: str, attribute: str) -> Column:
+        return F.lit(self.variables[name].get(attribute))
+
     # -- collections
 
     def declare(self, name: str, schema: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace import functions as fn
 from millrace import types
 from millrace.operators import dml, grouping, hierarchy, joins, ordering, pivot, reports, rules, setops, windows
+from millrace.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,3 +524,22 @@ def set_except(t):
 def events_by_hour(t):
     w = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("v"))
     return w.select(C("window.start").alias("hour"), "event_type", "n", "v")
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_by_day(t):
+    """The events as a stream of files, counted by day; the sink holds a row for each day and type."""
+    import uuid
+
+    schema = t.events.schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    counts = streams.windowed(stream, "ts", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    name = f"stream_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name).select(C("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("""SELECT CAST(min(ts) AS TIMESTAMP) AS began, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s""")
+def event_sessions(t):
+    out = streams.sessions(t.events, "ts", "30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    return out.select(C("session_start").cast("timestamp_ntz").alias("began"), "user_id", "n")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.catalog import Catalog, StoredQuery, rows, show_plan
-from millrace.sources import files, text, trees
+from millrace.sources import files, structure, text, trees
 from millrace.streaming import events
 
 FIELDS = [text.Field("i", "integer"), text.Field("s"), text.Field("m", "money"), text.Field("d", "datetime"), text.Field("last")]
@@ -61,6 +61,12 @@ def test_files_and_mail(spark, tmp_path):
     assert [(r["subject"], r["body"].strip()) for r in both] == [("One", "first"), ("Two", "second")]
 
 
+def test_structure(spark, tmp_path):
+    (tmp_path / "q.struct").write_text('$Version=2$\nq "system/query" { sql = "select \\"x\\""; n = 1, 2; // note\n p "query/parameter" { type = string; } empty "x/y" { } }')
+    rows = sorted((r["node"], r["type"], r["attribute"] or "", r["value"] or "") for r in structure.read_structure(spark, str(tmp_path / "q.struct")).collect())
+    assert set(rows) == {("/q/empty", "x/y", "", ""), ("/q/p", "query/parameter", "type", "string"), ("/q", "system/query", "n", "1"), ("/q", "system/query", "n", "2"), ("/q", "system/query", "sql", 'select "x"')}
+
+
 def test_catalog(spark):
     c = Catalog(spark)
     c.source("/t/a", lambda: spark.createDataFrame([(1, "red"), (2, "blue")], "id int, color string"))
@@ -80,6 +86,10 @@ def test_catalog(spark):
     c.update("n", F.col("k") == 2, {"v": F.lit("z")})
     c.delete("n", F.col("k") == 1)
     assert [tuple(r) for r in rows(c.collection("n"))] == [(2, "z")]
+    c.declare_object("o")
+    c.assign("o", c.open("/t/a"), F.col("id"))
+    assert c.variables["o"] == {"id": 2, "color": "blue"} and c.open("/t/a").where(F.col("color") == c.variable("o", "color")).count() == 1
+    assert c.open("/t/b").select(c.value("/t/b", "id").alias("x")).first()["x"] == 3
     assert "Physical Plan" in show_plan(c.open("/t/a"))
 
 
