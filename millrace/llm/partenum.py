@@ -2,7 +2,7 @@
 
 Two sets of sizes a <= b with 100 * |A & B| >= t * |A | B| differ in at most k elements, k following from the sizes. The domain of
 all shingles is cut into more parts than k, so similar sets agree in a whole part; the hash of a set's elements in
-one part is a signature, and similar sets of one size band share at least one.
+one part is a signature, and similar sets of one size band share at least NEEDED of them (fewer in bands of small sets).
 """
 
 from __future__ import annotations
@@ -16,14 +16,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import checkpoint, join_small, ship, split_words
+from millrace.llm._common import checkpoint, join_small, ship
 from millrace.llm.components import connected_components
 
-#: Members of a signature group that are compared in one task; larger groups are dealt out in chunks of this size.
+#: Members of a signature group of which all pairs are passed on, a fixed number; larger groups are compared in tiles.
+PAIRED = 16
+#: Sets to one side of a tile.
 CHUNK = 512
-#: Bits of the filter that tells which sets are candidates at all (2 MB, whatever the input).
+#: Signatures that a similar pair shares in bands of more parts than SMALL; below that, one.
+NEEDED, SMALL = 3, 16
+#: Bits of the filter that tells which sets are needed whole (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
-WORDS = 400_000
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
 U = np.uint64
 MULT, MULT2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
@@ -36,34 +41,104 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U(29))
 
 
-class Shingler:
-    """Distinct k-word shingles of a text as sorted 64-bit hashes; the hash of a word is remembered."""
-
-    def __init__(self, k: int = 5):
-        self.k, self.words = k, {}
-
-    def word(self, w: bytes) -> int:
-        h = self.words.get(w)
-        if h is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            h = self.words[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        """``bytes.lower`` lowers A-Z only. A text of fewer words than k is one shingle; one without words has none."""
-        words = split_words((text or b"").lower())
-        if not words:
-            return np.empty(0, U)
-        get, miss = self.words.get, self.word
-        h = np.fromiter((get(w) or miss(w) for w in words), U, len(words))
-        k = min(self.k, len(h))
-        n = len(h) - k + 1
-        x = np.full(n, U(k))
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes (A-Z only), white space, and powers of an odd number and of its inverse modulo 2 ** 64."""
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    base = 0xD6E8FEB86659FD93
+    powers = lambda p: np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(BLOCK + 1, p, U))))
+    with np.errstate(over="ignore"):
+        return low, space, powers(base), powers(pow(base, -1, 1 << 64))
+
+
+def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a block of at most BLOCK bytes, and where each word starts: differences of one running polynomial."""
+    low, space, power, inverse = _tables()
+    raw = np.frombuffer(block, np.uint8)
+    word = np.concatenate(([False], ~space[raw], [False]))
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, U), np.cumsum((low[raw].astype(U) + U(1)) * power[: len(raw)], dtype=U)))
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * MULT2), starts
+
+
+def shingle_sets(texts: Iterable[bytes | None], k: int) -> Iterator[np.ndarray]:
+    """Of each text its distinct k-word shingles as sorted 64-bit hashes. A text of fewer words than k is one shingle; one without words
+    has none. Texts are hashed together in blocks; long ones are cut between words."""
+
+    def combine(h: np.ndarray, size: int) -> np.ndarray:
+        n = max(len(h) - size + 1, 0)
+        x = np.full(n, U(size))
         with np.errstate(over="ignore"):
-            for j in range(k):
+            for j in range(size):
                 x = (x ^ (x >> U(31))) * MULT + h[j : j + n]
-        return np.unique(mix(x))
+        return mix(x)
+
+    def whole(parts: list[bytes]) -> Iterator[np.ndarray]:
+        h, starts = word_hashes(b"\n".join(parts))
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        bounds = [0, *np.searchsorted(starts, ends).tolist()]
+        x = combine(h, k)
+        for lo, hi in zip(bounds, bounds[1:]):
+            if hi - lo >= k:
+                yield np.unique(x[lo : hi - k + 1])
+            else:
+                yield combine(h[lo:hi], hi - lo) if hi > lo else np.empty(0, U)
+
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        text = text or b""
+        if len(text) + 1 + size > BLOCK and held:
+            yield from whole(held)
+            held, size = [], 0
+        if len(text) < BLOCK:
+            held.append(text)
+            size += len(text) + 1
+            continue
+        hashes, at = [], 0
+        while at < len(text):  # a long text, block by block; a word of more than half a block is cut there
+            end = min(at + BLOCK, len(text))
+            if end < len(text):
+                cut = max(text.rfind(c, at + BLOCK // 2, end) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+                end = cut if cut > 0 else end
+            hashes.append(word_hashes(text[at:end])[0])
+            at = end
+        h = np.concatenate(hashes)
+        yield np.unique(combine(h, min(k, len(h)))) if len(h) else np.empty(0, U)
+    if held:
+        yield from whole(held)
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit map of two to four bits an element, in which each element turns one bit over. Maps of two sets differ in no more bits than
+    the sets do in elements, also after the larger one is folded to the other's size."""
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles, 99) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def parity_bits(maps: list[bytes], bits: int) -> np.ndarray:
+    """Maps as rows of 0 and 1, folded to one width."""
+    out = np.zeros((len(maps), bits), np.float32)
+    for i, m in enumerate(maps):
+        row = np.unpackbits(np.frombuffer(m, np.uint8))
+        out[i] = row.reshape(-1, bits).sum(0) & 1 if len(row) > bits else row
+    return out
+
+
+def may_link(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of a bounded group can be similar, by sizes and maps (a square matrix)."""
+    total = n[:, None] + n[None, :]
+    most = total - 2 * -(-percent * total // (100 + percent))
+    fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    bits = 8 * min(map(len, maps))
+    rows = parity_bits(maps, bits)
+    ones = rows.sum(1)
+    return fits & (ones[:, None] + ones[None, :] - 2 * (rows @ rows.T) <= most + 0.5)
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -82,17 +157,21 @@ def band_start(i: int, percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def band(i: int, percent: int) -> tuple[int, int]:
-    """(parts, most empty parts) of band i, in which the larger set of a pair lies. A pair of sizes that sum up to s shares at least
-    percent * s / (100 + percent) elements. Parts are more than the differences by the number of empty parts that go unsigned."""
+    """(parts, most empty parts) of band i; no parts if its sets only link to equal ones. In it the larger set of a pair lies. A pair of sizes that sum up to s shares at least
+    percent * s / (100 + percent) elements. Parts are more than
+    the differences by the number of signatures to be shared and of empty parts that go unsigned."""
     high = band_start(i + 1, percent) - 1
     most = max(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(2, 2 * high - 40), 2 * high + 1))
     least = -(-percent * band_start(i, percent) // 100)
+    if most <= 0:
+        return 0, 0
+    needed = NEEDED if most >= SMALL else 1
     spare = 0
     for _ in range(4):
-        parts = max(most, 0) + 1 + spare
+        parts = most + needed + spare
         empty = parts * (1 - 1 / parts) ** least
-        spare = int(empty + (1.2 + 0.7 * np.log10(parts)) * empty**0.5) if parts > 1 else 0
-    return max(most, 0) + 1 + spare, spare
+        spare = int(empty + (1.2 + 0.7 * np.log10(parts)) * empty**0.5)
+    return most + needed + spare, spare
 
 
 def bands_of(n: int, percent: int) -> list[int]:
@@ -130,9 +209,12 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in bands_of(len(shingles), percent):
             parts, spare = band(i, percent)
+            if not parts:
+                continue
+            weak = U(parts - spare - NEEDED < SMALL)  # the lowest bit tells that one shared signature is enough
             tag = mix(np.array([i + 1], U), 5)[0]
             held, sums = part_sums(shingles, parts, i)
-            out.append(mix(sums + (held + U(1)) * MULT2 + tag))
+            found = [mix(sums + (held + U(1)) * MULT2 + tag)]
             if parts - len(held) > spare:
                 empty = np.setdiff1d(np.arange(parts, dtype=U), held)
                 held2, sums2 = part_sums(shingles, parts, 1000 + i)
@@ -141,10 +223,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
                 all3 = np.concatenate([sums3 + (held3 + U(1)) * MULT2, np.setdiff1d(np.arange(parts, dtype=U), held3) * MULT])
                 for e in empty:
                     outer = mix(np.array([e], U), 11)[0] + tag
-                    out.append(mix(sums2 + (held2 + U(1)) * MULT2 + outer, 1))
+                    found.append(mix(sums2 + (held2 + U(1)) * MULT2 + outer, 1))
                     for e2 in empty2:
-                        out.append(mix(all3 + outer + mix(np.array([e2], U), 13)[0], 2))
-    return np.concatenate(out)
+                        found.append(mix(all3 + outer + mix(np.array([e2], U), 13)[0], 2))
+            out += [x & ~U(1) | weak for x in found]
+    return np.concatenate(out) if out else np.empty(0, U)
 
 
 def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, pa.Table]]:
@@ -164,57 +247,24 @@ def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, pa.Tabl
         yield rest[0].column(0)[0].as_py(), pa.Table.from_batches(rest)
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of one bounded group, by products of 0/1 matrices over the shared elements."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.concatenate(([True], values[1:] != values[:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    total = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
-        here = (column >= at) & (column < at + 4096)
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[owner[here], column[here] - at] = 1
-        total += m @ m.T
-    return total
-
-
-def linked_pairs(names: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(sets) == 2:
-        o = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        hit = 100 * o >= percent * (len(sets[0]) + len(sets[1]) - o)
-        return (names[:1], names[1:]) if hit else (names[:0], names[:0])
-    both = overlaps(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    hit = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
-    a, b = np.nonzero(hit)
-    return names[a], names[b]
-
-
 def _shingle_rows(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        shingler = Shingler(k)
         for batch in batches:
-            n, name = [], []
-            for text in batch.column(1).cast(pa.binary()):
-                s = shingler(text.as_py())
+            n, name, maps = [], [], []
+            for s in shingle_sets((t.as_py() for t in batch.column(1).cast(pa.binary())), k):
                 n.append(len(s))
                 name.append(fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64())], names=[id_col, "n_shingles", "fp"])
+                maps.append(parity(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), pa.array(maps, pa.binary())], names=[id_col, "n_shingles", "fp", "map"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_shingles long, fp long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_shingles long, fp long, map binary")
 
 
 def _once(batches, k: int, limit: int = 500_000) -> Iterator[tuple[int, np.ndarray]]:
     """The sets of a task's texts, copies only once (as far as the memory of names reaches)."""
-    shingler, seen = Shingler(k), set()
+    seen = set()
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            s = shingler(text.as_py())
+        for s in shingle_sets((t.as_py() for t in batch.column(0).cast(pa.binary())), k):
             if len(s):
                 name = fingerprint(s)
                 if name not in seen:
@@ -242,64 +292,68 @@ def _signature_rows(docs: DataFrame, k: int, percent: int, text_col: str) -> Dat
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """Signature groups of two or more sets, as (gid, fp, big). A group of up to CHUNK sets is named by its members, so that a group that
-    many signatures find is compared once. Of a larger one each set is paired with the first, and all are passed on as big."""
+    """What signature groups of two or more sets say, as (a, b, weight, big).
 
-    def runs(batches):
-        last, continued = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:  # the open group's last rows stay in front
-                sig, fp = np.concatenate((last[0], sig)), np.concatenate((last[1], fp))
-            cuts = np.flatnonzero(sig[1:] != sig[:-1]) + 1
-            done = cuts[-1] if len(cuts) else 0
-            if len(sig) - done > 50 * CHUNK:  # a very large group goes on in pieces that share its first set
-                yield sig, fp, continued, True
-                last, continued = (sig[done : done + 1], fp[done : done + 1]), True
-            elif done:
-                yield sig[:done], fp[:done], continued, False
-                last, continued = (sig[done:], fp[done:]), False
-            else:
-                last = sig, fp
-        if last is not None:
-            yield last[0], last[1], continued, False
+    Of a group of up to PAIRED sets each pair (a, b) gets a weight of 1, or NEEDED where one shared signature is enough. Of a
+    larger group each set is paired with the first one only, and all sets are passed on as (signature, set) with ``big``.
+    """
 
     def run(batches):
-        for sig, fp, continued, open_end in runs(batches):
-            gid, out, big = [], [], []
-            if len(sig):
-                new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
-                sig, fp = sig[new], fp[new]
-                starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-                ends = np.append(starts[1:], len(sig))
-                for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                    own = fp[lo:hi]
-                    whole = not (continued and lo == 0) and not (open_end and hi == len(sig))
-                    if hi - lo <= CHUNK and whole:
-                        if hi - lo <= 4:
-                            lists = [own[[i, j]] for j in range(1, hi - lo) for i in range(j)]
-                        else:
-                            lists = [own]
-                    else:
-                        lists = [own[[0, j]] for j in range(1, hi - lo)]
-                        gid.append(np.full(hi - lo, sig[lo]))
-                        out.append(own)
-                        big.append(np.ones(hi - lo, bool))
-                    for x in lists:
-                        gid.append(np.full(len(x), xxhash.xxh3_64_intdigest(x.tobytes()) >> 1, np.int64))
-                        out.append(x)
-                        big.append(np.zeros(len(x), bool))
-            if gid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid)), pa.array(np.concatenate(out)), pa.array(np.concatenate(big))], names=["gid", "fp", "big"])
-
-    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "gid long, fp long, big boolean")
-
-
-def _candidate_sets(docs: DataFrame, names: DataFrame, k: int, text_col: str) -> DataFrame:
-    """(fp, shingles) of the sets that are in some group. A bit filter of fixed size lets few others through the scan; the
-    join then keeps exactly the ones asked for."""
+        left, right, weight, big, held = [], [], [], [], 0
+        for sig, fp in _runs(batches):
+            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
+            sig, fp = sig[new], fp[new]
+            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(starts, len(sig)))
+            for m in np.unique(size[size > 1]).tolist():
+                at = starts[size == m]
+                w = np.where(sig[at] & 1, NEEDED, 1)
+                i, j = np.triu_indices(m, 1) if m <= PAIRED else (np.zeros(m - 1, np.int64), np.arange(1, m))
+                left.append(fp[at[:, None] + i].ravel())
+                right.append(fp[at[:, None] + j].ravel())
+                weight.append(np.repeat(w, len(i)))
+                big.append(np.zeros(len(left[-1]), bool))
+                if m > PAIRED:
+                    every = (at[:, None] + np.arange(m)).ravel()
+                    left.append(sig[every])
+                    right.append(fp[every])
+                    weight.append(np.ones(len(every), np.int64))
+                    big.append(np.ones(len(every), bool))
+                held += len(at) * m
+            if held > 20_000:
+                yield _batch(left, right, weight, big)
+                left, right, weight, big, held = [], [], [], [], 0
+        if held:
+            yield _batch(left, right, weight, big)
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "a long, b long, weight long, big boolean")
+
+
+def _batch(left, right, weight, big) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right, weight, big)], names=["a", "b", "weight", "big"])
+
+
+def _runs(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (signature, set) of a sorted stream, cut between signatures. Of a signature only ids are held."""
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if sig[0] == sig[-1] and (not rest or rest[-1][0][-1] == sig[0]):
+            rest.append((sig, fp))
+            continue
+        cut = int(np.searchsorted(sig, sig[-1]))
+        head = [*rest, (sig[:cut], fp[:cut])]
+        yield np.concatenate([x for x, _ in head]), np.concatenate([x for _, x in head])
+        rest = [(sig[cut:], fp[cut:])]
+    if rest:
+        yield np.concatenate([x for x, _ in rest]), np.concatenate([x for _, x in rest])
+
+
+def _whole_sets(docs: DataFrame, names: DataFrame, k: int, text_col: str) -> DataFrame:
+    """(fp, shingles) of the named sets. A bit filter of fixed size lets few others through the scan; the join then keeps exactly the
+    ones asked for."""
     spark = docs.sparkSession
     bit = F.pmod(F.col("fp"), F.lit(FILTER_BITS))
     words = names.groupBy(F.floor(bit / 32).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {FILTER_BITS}) % 32 as int))")).alias("bits"))
@@ -327,48 +381,80 @@ def _candidate_sets(docs: DataFrame, names: DataFrame, k: int, text_col: str) ->
     return sets.join(names, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
-def _compare(groups: DataFrame, percent: int, across: bool = False) -> DataFrame:
-    """Links (a, b) within each group of rows (gid, fp, shingles[, side]); with ``across``, only of side 0 with any."""
+def _survivors(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and maps allow a link."""
+    side = lambda c: classes.select(F.col("fp").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
 
     def run(batches):
-        for _, t in grouped(batches):
-            names = t.column("fp").to_numpy()
-            sets = [np.frombuffer(x.as_py(), U) for x in t.column("shingles")]
-            if across:
-                side = t.column("side").to_numpy()
-                a, b = linked_pairs(np.arange(len(names)), sets, percent)
-                hit = (side[a] == 0) | (side[b] == 0)
-                a, b = names[a[hit]], names[b[hit]]
-            else:
-                a, b = linked_pairs(names, sets, percent)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for batch in batches:
+            n = np.stack([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()], 1)
+            maps = zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist())
+            keep = [bool(may_link(n[i], list(m), percent)[0, 1]) for i, m in enumerate(maps)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    columns = ["gid", "fp", "shingles"] + ["side"] * across
-    return groups.select(*columns).repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _compare_big(big: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links inside large groups that the links to the first set haven't yet made one component.
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int, text_col: str) -> DataFrame:
+    """The pairs that link. Pairs are grouped by one end, whose set comes once; a set with very many partners is dealt over several groups."""
+    pairs = checkpoint(pairs.distinct())
+    names = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = checkpoint(_whole_sets(docs, names, k, text_col))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("part"))
+    sizes = pairs.groupBy("a").count()
+    dealt = dealt.join(sizes, "a").withColumn("part", F.when(F.col("count") > CHUNK, F.col("part")).otherwise(0)).withColumn("gid", F.xxhash64("a", "part"))
+    rows = dealt.select("gid", F.col("b").alias("fp"), F.lit(1).alias("side")).unionByName(dealt.select("gid", F.col("a").alias("fp"), F.lit(0).alias("side")).distinct())
 
-    Sets of the first set's component need no comparison with each other. The others are compared with all, chunk by chunk:
-    each pair of chunks is one task's group, so no task holds more than two chunks.
+    def run(batches):
+        key = head = None
+        a, b = [], []
+        for batch in batches:
+            for gid, fp, side, raw in zip(*(batch.column(c).to_pylist() for c in ("gid", "fp", "side", "shingles"))):
+                s = np.frombuffer(raw, U)
+                if side == 0:
+                    key, head = gid, (fp, s)
+                elif gid == key:
+                    o = len(np.intersect1d(head[1], s, assume_unique=True))
+                    if 100 * o >= percent * (len(head[1]) + len(s) - o):
+                        a.append(head[0])
+                        b.append(fp)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+
+    return rows.join(sets, "fp").repartition("gid").sortWithinPartitions("gid", "side").mapInArrow(run, "a long, b long")
+
+
+def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs inside larger groups whose sizes and maps allow a link and that the links so far haven't yet put in one component.
+
+    Sets of the first set's component need no comparison with each other. The others are compared with all, tile by tile: a pair of
+    chunks is one task's group, so no task holds more than two chunks of maps.
     """
     rows = big.join(labels, big["fp"] == labels["node"], "left").select("gid", "fp", F.coalesce("component", "fp").alias("label"))
     heads = rows.groupBy("gid").agg(F.min_by("label", "fp").alias("head"), F.count(F.lit(1)).alias("m"))
     rows = rows.join(heads, "gid").withColumn("other", F.col("label") != F.col("head"))
     counts = rows.groupBy("gid").agg(F.count_if("other").alias("others")).where("others > 0")
-    rows = rows.join(counts, "gid")
+    rows = rows.join(counts, "gid").join(classes.select("fp", "n_shingles", "map"), "fp")
     chunks = lambda n: F.floor((F.col(n) - 1) / CHUNK) + 1
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
-    left = rows.where("other").select("gid", "fp", own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
-    right = rows.where("not other").select("gid", "fp", every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
-    # others meet each other too: each also stands, as a partner, in the chunk that its second hash names
-    third = rows.where("other").select("gid", "fp", every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
-    tiles = left.unionByName(right).unionByName(third).groupBy("gid", "x", "y", "fp").agg(F.min("side").alias("side"))
-    tiles = tiles.select(F.xxhash64("gid", "x", "y").alias("gid"), "fp", "side").join(sets, "fp")
-    return _compare(tiles, percent, across=True)
+    data = ["gid", "fp", "label", "n_shingles", "map"]
+    asks = rows.where("other").select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
+    answers = rows.select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
+
+    def run(batches):
+        for _, t in grouped(batches):
+            side = t.column("side").to_numpy()
+            fp, label = t.column("fp").to_numpy(), t.column("label").to_numpy()
+            fits = may_link(t.column("n_shingles").to_numpy(), t.column("map").to_pylist(), percent)
+            fits &= (side[:, None] == 0) & (side[None, :] == 1) & (label[:, None] != label[None, :])
+            i, j = np.nonzero(fits)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], names=["a", "b"])
+
+    tiles = asks.unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).select("tile", "side", "fp", "label", "n_shingles", "map")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,16 +467,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     """
     ship(docs.sparkSession)
     slim = checkpoint(_shingle_rows(docs, k, id_col, text_col))
-    groups = checkpoint(_groups(_signature_rows(docs, k, percent, text_col)).distinct())
-    sets = checkpoint(_candidate_sets(docs, groups.select("fp").distinct(), k, text_col))
-    links = checkpoint(_compare(groups.where("not big").join(sets, "fp"), percent))
-    big = groups.where("big").select("gid", "fp")
-    if not big.isEmpty():
-        more = _compare_big(big, sets, connected_components(links), percent)
-        links = checkpoint(links.unionByName(more))
+    classes = slim.where("fp is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.min(id_col).alias("first"))
+    groups = checkpoint(_groups(_signature_rows(docs, k, percent, text_col)).groupBy("a", "b", "big").agg(F.sum("weight").alias("weight")))
+    pairs = groups.where((~F.col("big")) & (F.col("weight") >= NEEDED)).select("a", "b")
+    links = checkpoint(_verified(docs, _survivors(pairs, classes, percent), percent, k, text_col))
+    big = groups.where("big").select(F.col("a").alias("gid"), F.col("b").alias("fp"))
+    more = checkpoint(_within_big(big, classes, connected_components(links), percent))
+    if not more.isEmpty():
+        links = checkpoint(links.unionByName(_verified(docs, more, percent, k, text_col)))
     labels = connected_components(links)
-    classes = slim.where("fp is not null").groupBy("fp").agg(F.min(id_col).alias("first"))
-    classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
+    classes = classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     named = classes.join(names, "label").select("fp", "component_id")
     return slim.join(named, "fp", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
