@@ -85,9 +85,7 @@ def divide(a: Column, b: Column, kinds: tuple[str, str] = ("integer", "integer")
     money is a double. Division by zero is an error, as Spark's ANSI mode has it."""
     kind = _result(*kinds)
     if kind == "integer":
-        quotient = F.try_divide(a.cast("double"), b.cast("double"))
-        exact = F.when(quotient < 0, F.ceil(quotient)).otherwise(F.floor(quotient)).cast("long")
-        return F.when(b == 0, F.raise_error("divide by zero").cast("long")).otherwise(exact)
+        return F.call_function("div", a, b)
     if kind == "double":
         return a / b
     if kinds == ("money", "money"):
