@@ -25,6 +25,10 @@ PAIRED = 16
 CHUNK = 512
 #: Signatures that a similar pair shares in bands of more parts than SMALL; below that, one.
 NEEDED, SMALL = 3, 16
+#: Turns in which larger groups are joined up; the last one takes all pairs that are left.
+ROUNDS = 4
+#: Rows of one signature that a task holds; a larger group comes in pieces.
+HELD = 100_000
 #: Bits of the filter that tells which sets are needed whole (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once.
@@ -114,9 +118,9 @@ def shingle_sets(texts: Iterable[bytes | None], k: int) -> Iterator[np.ndarray]:
 
 
 def parity(shingles: np.ndarray) -> bytes:
-    """A bit map of two to four bits an element, in which each element turns one bit over. Maps of two sets differ in no more bits than
+    """A bit map of three to six bits an element, in which each element turns one bit over. Maps of two sets differ in no more bits than
     the sets do in elements, also after the larger one is folded to the other's size."""
-    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << int(3 * len(shingles) - 1).bit_length())
     odd = np.bincount((mix(shingles, 99) & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).tobytes()
 
@@ -130,15 +134,32 @@ def parity_bits(maps: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def may_link(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs of a bounded group can be similar, by sizes and maps (a square matrix)."""
+def differences(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """At least so many elements differ between the sets of a bounded group (a square matrix); infinite where sizes or maps rule a link out."""
     total = n[:, None] + n[None, :]
     most = total - 2 * -(-percent * total // (100 + percent))
     fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    bits = 8 * min(map(len, maps))
-    rows = parity_bits(maps, bits)
+    rows = parity_bits(maps, 8 * min(map(len, maps)))
     ones = rows.sum(1)
-    return fits & (ones[:, None] + ones[None, :] - 2 * (rows @ rows.T) <= most + 0.5)
+    apart = ones[:, None] + ones[None, :] - 2 * (rows @ rows.T)
+    return np.where(fits & (apart <= most + 0.5), apart, np.inf)
+
+
+def forest(apart: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a least spanning forest over finite differences; members with equal labels count as joined already."""
+    m = len(label)
+    done, best, source, out = np.zeros(m, bool), np.full(m, np.inf), np.zeros(m, np.int64), []
+    while not done.all():
+        at = int(np.argmin(np.where(done, np.inf, best)))
+        if done[at] or best[at] == np.inf:
+            at = int(np.flatnonzero(~done)[0])
+        else:
+            out.append((int(source[at]), at))
+        for i in np.flatnonzero(~done & (label == label[at])).tolist():
+            done[i] = True
+            nearer = apart[i] < best
+            best[nearer], source[nearer] = apart[i][nearer], i
+    return out
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -300,7 +321,15 @@ def _groups(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         left, right, weight, big, held = [], [], [], [], 0
-        for sig, fp in _runs(batches):
+        for sig, fp, first in _runs(batches):
+            if first is not None:  # a piece of a very large group
+                for x, y, w, whole in ((np.full(len(fp), first), fp, NEEDED if sig[0] & 1 else 1, False), (sig, fp, 1, True)):
+                    left.append(x)
+                    right.append(y)
+                    weight.append(np.full(len(fp), w))
+                    big.append(np.full(len(fp), whole))
+                held += len(fp)
+                continue
             new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
             sig, fp = sig[new], fp[new]
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
@@ -333,22 +362,36 @@ def _batch(left, right, weight, big) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right, weight, big)], names=["a", "b", "weight", "big"])
 
 
-def _runs(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (signature, set) of a sorted stream, cut between signatures. Of a signature only ids are held."""
+def _runs(batches) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """Rows (signature, set) of a sorted stream, cut between signatures. A group of more than HELD rows comes in pieces, each with the
+    group's first set; else that is None."""
     rest: list[tuple[np.ndarray, np.ndarray]] = []
+    first = None
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([x for x, _ in rest]), np.concatenate([x for _, x in rest])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if sig[0] == sig[-1] and (not rest or rest[-1][0][-1] == sig[0]):
-            rest.append((sig, fp))
-            continue
-        cut = int(np.searchsorted(sig, sig[-1]))
-        head = [*rest, (sig[:cut], fp[:cut])]
-        yield np.concatenate([x for x, _ in head]), np.concatenate([x for _, x in head])
-        rest = [(sig[cut:], fp[cut:])]
+        if rest and rest[-1][0][-1] != sig[0]:  # the open group has ended
+            yield *joined(), first
+            rest, first = [], None
+        end = int(np.searchsorted(sig, sig[0], "right"))
+        rest.append((sig[:end], fp[:end]))
+        if end < len(sig):
+            yield *joined(), first
+            last = int(np.searchsorted(sig, sig[-1]))
+            if end < last:
+                yield sig[end:last], fp[end:last], None
+            rest, first = [(sig[last:], fp[last:])], None
+        elif sum(len(x) for x, _ in rest) > HELD:
+            first = int(rest[0][1][0]) if first is None else first
+            yield *joined(), first
+            rest = [(sig[-1:], fp[-1:])]
     if rest:
-        yield np.concatenate([x for x, _ in rest]), np.concatenate([x for _, x in rest])
+        yield *joined(), first
 
 
 def _whole_sets(docs: DataFrame, names: DataFrame, k: int, text_col: str) -> DataFrame:
@@ -389,7 +432,7 @@ def _survivors(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n = np.stack([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()], 1)
             maps = zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist())
-            keep = [bool(may_link(n[i], list(m), percent)[0, 1]) for i, m in enumerate(maps)]
+            keep = [bool(np.isfinite(differences(n[i], list(m), percent)[0, 1])) for i, m in enumerate(maps)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
@@ -425,35 +468,41 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int, text_col:
     return rows.join(sets, "fp").repartition("gid").sortWithinPartitions("gid", "side").mapInArrow(run, "a long, b long")
 
 
-def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside larger groups whose sizes and maps allow a link and that the links so far haven't yet put in one component.
+def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, rejected: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Pairs inside larger groups to verify next: those that sizes and maps allow, that aren't in one component yet and haven't been rejected.
 
     Sets of the first set's component need no comparison with each other. The others are compared with all, tile by tile: a pair of
-    chunks is one task's group, so no task holds more than two chunks of maps.
+    chunks is one task's group, so no task holds more than two chunks of maps. With ``few`` a tile gives the edges of a forest that would
+    join all it can, so the pairs grow with the rows; else all pairs.
     """
     rows = big.join(labels, big["fp"] == labels["node"], "left").select("gid", "fp", F.coalesce("component", "fp").alias("label"))
     heads = rows.groupBy("gid").agg(F.min_by("label", "fp").alias("head"), F.count(F.lit(1)).alias("m"))
     rows = rows.join(heads, "gid").withColumn("other", F.col("label") != F.col("head"))
     counts = rows.groupBy("gid").agg(F.count_if("other").alias("others")).where("others > 0")
-    rows = rows.join(counts, "gid").join(classes.select("fp", "n_shingles", "map"), "fp")
+    lists = rejected.groupBy(F.col("a").alias("fp")).agg(F.collect_list("b").alias("no"))
+    rows = rows.join(counts, "gid").join(classes.select("fp", "n_shingles", "map"), "fp").join(lists, "fp", "left")
     chunks = lambda n: F.floor((F.col(n) - 1) / CHUNK) + 1
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
-    data = ["gid", "fp", "label", "n_shingles", "map"]
+    data = ["gid", "fp", "label", "n_shingles", "map", "no"]
     asks = rows.where("other").select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
     answers = rows.select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
 
     def run(batches):
         for _, t in grouped(batches):
-            side = t.column("side").to_numpy()
-            fp, label = t.column("fp").to_numpy(), t.column("label").to_numpy()
-            fits = may_link(t.column("n_shingles").to_numpy(), t.column("map").to_pylist(), percent)
-            fits &= (side[:, None] == 0) & (side[None, :] == 1) & (label[:, None] != label[None, :])
-            i, j = np.nonzero(fits)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], names=["a", "b"])
-
-    tiles = asks.unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).select("tile", "side", "fp", "label", "n_shingles", "map")
+            side, fp, label = (t.column(c).to_numpy() for c in ("side", "fp", "label"))
+            apart = differences(t.column("n_shingles").to_numpy(), t.column("map").to_pylist(), percent)
+            apart[(side[:, None] == side[None, :]) | (label[:, None] == label[None, :])] = np.inf
+            for i, no in enumerate(t.column("no").to_pylist()):
+                if no:
+                    hit = np.isin(fp, no)
+                    apart[i, hit] = apart[hit, i] = np.inf
+            pairs = np.array(forest(apart, label) if few else np.argwhere(np.isfinite(apart) & np.triu(np.ones(apart.shape, bool), 1)), np.int64).reshape(-1, 2)
+            if len(pairs):
+                x, y = fp[pairs[:, 0]], fp[pairs[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    tiles = asks.unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).select("tile", "side", "fp", "label", "n_shingles", "map", "no")
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -469,12 +518,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     slim = checkpoint(_shingle_rows(docs, k, id_col, text_col))
     classes = slim.where("fp is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.min(id_col).alias("first"))
     groups = checkpoint(_groups(_signature_rows(docs, k, percent, text_col)).groupBy("a", "b", "big").agg(F.sum("weight").alias("weight")))
-    pairs = groups.where((~F.col("big")) & (F.col("weight") >= NEEDED)).select("a", "b")
+    pairs = groups.where((~F.col("big")) & (F.col("weight") >= NEEDED) & (F.col("a") != F.col("b"))).select("a", "b")
     links = checkpoint(_verified(docs, _survivors(pairs, classes, percent), percent, k, text_col))
     big = groups.where("big").select(F.col("a").alias("gid"), F.col("b").alias("fp"))
-    more = checkpoint(_within_big(big, classes, connected_components(links), percent))
-    if not more.isEmpty():
-        links = checkpoint(links.unionByName(_verified(docs, more, percent, k, text_col)))
+    rejected = links.limit(0)
+    for turn in range(ROUNDS):  # most groups are joined by the first forests; the last turn compares whatever is left
+        more = checkpoint(_within_big(big, classes, connected_components(links), rejected, percent, few=turn < ROUNDS - 1))
+        if more.isEmpty():
+            break
+        found = checkpoint(_verified(docs, more, percent, k, text_col))
+        links = checkpoint(links.unionByName(found))
+        rejected = checkpoint(rejected.unionByName(more.join(found, ["a", "b"], "left_anti")))
     labels = connected_components(links)
     classes = classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("component_id"))

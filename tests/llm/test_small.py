@@ -303,6 +303,26 @@ def test_large_signature_groups(spark, monkeypatch):
     assert out == brute_components(rows)
 
 
+def test_forests_join_what_can_be_joined():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        m = int(rng.integers(1, 14))
+        apart = np.where(rng.random((m, m)) < 0.25, rng.integers(1, 9, (m, m)).astype(float), np.inf)
+        apart, label = np.minimum(apart, apart.T), rng.integers(0, 9, m)
+        edges = partenum.forest(apart, label)
+        assert all(np.isfinite(apart[i, j]) for i, j in edges)
+
+        def parts(pairs):
+            group = list(range(m))
+            for i, j in pairs:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]  # noqa: B023
+            return [[g == h for h in group] for g in group]
+
+        same = [(i, j) for i in range(m) for j in range(m) if label[i] == label[j]]
+        assert parts([*same, *edges]) == parts([*same, *np.argwhere(np.isfinite(apart)).tolist()]) and len(edges) < m
+
+
 def test_similar_sets_share_signatures():
     rng = np.random.default_rng(6)
     tried = 0
@@ -316,7 +336,7 @@ def test_similar_sets_share_signatures():
             tried += 1
             shared = np.intersect1d(partenum.signatures(a, 80), partenum.signatures(b, 80))
             assert np.where(shared & np.uint64(1), partenum.NEEDED, 1).sum() >= partenum.NEEDED
-            assert partenum.may_link(np.array([len(a), len(b)]), [partenum.parity(a), partenum.parity(b)], 80)[0, 1]
+            assert partenum.differences(np.array([len(a), len(b)]), [partenum.parity(a), partenum.parity(b)], 80)[0, 1] <= len(a) + len(b) - 2 * o
     assert tried > 100
 
 
