@@ -125,12 +125,16 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd).tobytes()
 
 
-def parity_bits(maps: list[bytes], bits: int) -> np.ndarray:
-    """Maps as rows of 0 and 1, folded to one width."""
-    out = np.zeros((len(maps), bits), np.float32)
-    for i, m in enumerate(maps):
-        row = np.unpackbits(np.frombuffer(m, np.uint8))
-        out[i] = row.reshape(-1, bits).sum(0) & 1 if len(row) > bits else row
+def parity_differences(maps: list[bytes]) -> np.ndarray:
+    """In how many bits the maps of a bounded group differ, after folding all to the width of the narrowest; so many bits at once that
+    memory doesn't grow with the texts."""
+    width = min(map(len, maps))
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) for m in maps])
+    out = np.zeros((len(maps), len(maps)))
+    for at in range(0, width, 1024):
+        bits = np.unpackbits(rows[:, at : at + 1024], axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        out += ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
     return out
 
 
@@ -139,9 +143,7 @@ def differences(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
     total = n[:, None] + n[None, :]
     most = total - 2 * -(-percent * total // (100 + percent))
     fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    rows = parity_bits(maps, 8 * min(map(len, maps)))
-    ones = rows.sum(1)
-    apart = ones[:, None] + ones[None, :] - 2 * (rows @ rows.T)
+    apart = parity_differences(maps)
     return np.where(fits & (apart <= most + 0.5), apart, np.inf)
 
 
@@ -316,7 +318,8 @@ def _groups(rows: DataFrame) -> DataFrame:
     """What signature groups of two or more sets say, as (a, b, weight, big).
 
     Of a group of up to PAIRED sets each pair (a, b) gets a weight of 1, or NEEDED where one shared signature is enough. Of a
-    larger group each set is paired with the first one only, and all sets are passed on as (signature, set) with ``big``.
+    larger group each set is paired with the first one only, and all sets are passed on as (group, set) with ``big``; the group is named by
+    its members, so that one which many signatures find is compared once.
     """
 
     def run(batches):
@@ -344,7 +347,8 @@ def _groups(rows: DataFrame) -> DataFrame:
                 big.append(np.zeros(len(left[-1]), bool))
                 if m > PAIRED:
                     every = (at[:, None] + np.arange(m)).ravel()
-                    left.append(sig[every])
+                    names = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in fp[every].reshape(-1, m)]
+                    left.append(np.repeat(np.array(names, np.int64), m))
                     right.append(fp[every])
                     weight.append(np.ones(len(every), np.int64))
                     big.append(np.ones(len(every), bool))
@@ -469,30 +473,35 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int, text_col:
 
 
 def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, rejected: DataFrame, percent: int, few: bool) -> DataFrame:
-    """Pairs inside larger groups to verify next: those that sizes and maps allow, that aren't in one component yet and haven't been rejected.
+    """Pairs (gid, a, b) inside larger groups to verify next: those that sizes and maps allow, that aren't in one component yet and
+    haven't been rejected.
 
-    Sets of the first set's component need no comparison with each other. The others are compared with all, tile by tile: a pair of
-    chunks is one task's group, so no task holds more than two chunks of maps. With ``few`` a tile gives the edges of a forest that would
-    join all it can, so the pairs grow with the rows; else all pairs.
+    Sets of the first set's component need no comparison with each other; the others are compared with all. A group of up to CHUNK sets
+    is one task's tile. Of a larger one, each pair of a chunk of others and a chunk of all sets is a tile, so no task holds more
+    than two chunks of maps. With ``few`` a tile gives the edges of a forest that would join all it can, so the pairs grow with the
+    rows; else all pairs.
     """
     rows = big.join(labels, big["fp"] == labels["node"], "left").select("gid", "fp", F.coalesce("component", "fp").alias("label"))
     heads = rows.groupBy("gid").agg(F.min_by("label", "fp").alias("head"), F.count(F.lit(1)).alias("m"))
     rows = rows.join(heads, "gid").withColumn("other", F.col("label") != F.col("head"))
     counts = rows.groupBy("gid").agg(F.count_if("other").alias("others")).where("others > 0")
     lists = rejected.groupBy(F.col("a").alias("fp")).agg(F.collect_list("b").alias("no"))
-    rows = rows.join(counts, "gid").join(classes.select("fp", "n_shingles", "map"), "fp").join(lists, "fp", "left")
+    rows = rows.join(counts, "gid").join(lists, "fp", "left")
     chunks = lambda n: F.floor((F.col(n) - 1) / CHUNK) + 1
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
-    data = ["gid", "fp", "label", "n_shingles", "map", "no"]
-    asks = rows.where("other").select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
-    answers = rows.select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
+    data, many = ["gid", "fp", "label", "no"], F.col("m") > CHUNK
+    zero = F.lit(0).cast("long")
+    whole = rows.where(~many).select(*data, zero.alias("x"), zero.alias("y"), F.when(F.col("other"), 2).otherwise(1).alias("side"))
+    asks = rows.where(many & F.col("other")).select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
+    answers = rows.where(many).select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
 
     def run(batches):
         for _, t in grouped(batches):
             side, fp, label = (t.column(c).to_numpy() for c in ("side", "fp", "label"))
             apart = differences(t.column("n_shingles").to_numpy(), t.column("map").to_pylist(), percent)
-            apart[(side[:, None] == side[None, :]) | (label[:, None] == label[None, :])] = np.inf
+            both = side[:, None] + side[None, :]  # others (2) meet all; asking ones (0) only answering ones (1)
+            apart[(both == 0) | (both == 2) | (label[:, None] == label[None, :])] = np.inf
             for i, no in enumerate(t.column("no").to_pylist()):
                 if no:
                     hit = np.isin(fp, no)
@@ -500,10 +509,11 @@ def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, rejected:
             pairs = np.array(forest(apart, label) if few else np.argwhere(np.isfinite(apart) & np.triu(np.ones(apart.shape, bool), 1)), np.int64).reshape(-1, 2)
             if len(pairs):
                 x, y = fp[pairs[:, 0]], fp[pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                gid = np.full(len(x), t.column("gid")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["gid", "a", "b"])
 
-    tiles = asks.unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).select("tile", "side", "fp", "label", "n_shingles", "map", "no")
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
+    tiles = whole.unionByName(asks).unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).join(classes.select("fp", "n_shingles", "map"), "fp")
+    return tiles.select("tile", "gid", "side", "fp", "label", "n_shingles", "map", "no").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "gid long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -521,15 +531,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     pairs = groups.where((~F.col("big")) & (F.col("weight") >= NEEDED) & (F.col("a") != F.col("b"))).select("a", "b")
     links = checkpoint(_verified(docs, _survivors(pairs, classes, percent), percent, k, text_col))
     big = groups.where("big").select(F.col("a").alias("gid"), F.col("b").alias("fp"))
-    rejected = links.limit(0)
+    rejected, labels = links.limit(0), None
     for turn in range(ROUNDS):  # most groups are joined by the first forests; the last turn compares whatever is left
-        more = checkpoint(_within_big(big, classes, connected_components(links), rejected, percent, few=turn < ROUNDS - 1))
+        labels = connected_components(links)
+        more = checkpoint(_within_big(big, classes, labels, rejected, percent, few=turn < ROUNDS - 1))
         if more.isEmpty():
             break
-        found = checkpoint(_verified(docs, more, percent, k, text_col))
-        links = checkpoint(links.unionByName(found))
-        rejected = checkpoint(rejected.unionByName(more.join(found, ["a", "b"], "left_anti")))
-    labels = connected_components(links)
+        found = checkpoint(_verified(docs, more.select("a", "b"), percent, k, text_col))
+        links, labels = checkpoint(links.unionByName(found)), None
+        failed = checkpoint(more.join(found, ["a", "b"], "left_anti"))
+        if failed.isEmpty():
+            break
+        rejected = checkpoint(rejected.unionByName(failed.select("a", "b").distinct()))
+        big = big.join(failed.select("gid").distinct(), "gid", "left_semi")  # in all other groups the forest's links have settled every pair
+    labels = connected_components(links) if labels is None else labels
     classes = classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     named = classes.join(names, "label").select("fp", "component_id")
