@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,30 +10,32 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._common import checkpoint, ship, split_words
+from millrace.llm.partenum import mix
 
-#: Words, and bigrams, of at least this share of either corpus are in the models. So each has 2 / share entries at most,
-#: whatever the input, and may be broadcast; the counts they are chosen by cover all of both corpora.
-WORD_SHARE, BIGRAM_SHARE = 2e-6, 2e-6
+#: What is broadcast to save shuffling, and changes no result: words of at least this share of the tokens of a sample, and bigrams
+#: of at least this share of all tokens counted. So at most 1 / share of each, whatever the input; all others are joined.
+HOT_WORDS, HOT_BIGRAMS = 1e-6, 4e-6
+#: Texts of the sample (about).
+SAMPLE = 40_000
 DISCOUNT, ADD = 0.75, 0.5
-#: Tokens that a task counts at once, and words whose id it remembers.
+#: Tokens that a task counts at once, and words whose code it remembers.
 CHUNK_TOKENS, WORDS = 4_000_000, 500_000
-#: Ids: 0 stands for all other words, 1 for the start of a text.
-OTHER, START = 0, 1
+#: Codes: 1 stands for the start of a text, from 2 on for hot words, negative ones (63-bit hashes) for all other words.
+NONE, START = 0, 1
 
 
 @dataclass
 class Models:
-    """Sorted word hashes (ids from 2 on), sorted bigram keys, and the log probabilities of both models (row 0 target, 1 background)."""
+    """Both corpora as (text) tables, the sorted hashes of hot words and the numbers of texts. The counts are tables made by ``bigrams``."""
 
+    target: DataFrame
+    background: DataFrame
     words: np.ndarray
-    keys: np.ndarray
-    unigram: np.ndarray
-    bigram: np.ndarray
-    backoff: np.ndarray
+    texts: tuple[int, int]
 
 
 def word_hash(word: bytes) -> int:
@@ -61,7 +64,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class TokenIds(dict):
-    """Words to ids of the shared vocabulary."""
+    """Words to codes."""
 
     def __init__(self, words: np.ndarray):
         self.ids = {h: i + 2 for i, h in enumerate(words.tolist())}
@@ -69,7 +72,8 @@ class TokenIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS:
             self.clear()
-        i = self[word] = self.ids.get(word_hash(word), OTHER)
+        h = word_hash(word)
+        i = self[word] = self.ids.get(h) or h | -(1 << 63)
         return i
 
 
@@ -85,7 +89,7 @@ def _token_ids(words: np.ndarray) -> TokenIds:
 
 
 def _tokens(column: pa.Array, ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of some texts, each text after a START, and the place of each START."""
+    """Codes of all words of some texts, each text after a START, and the place of each START."""
     flat, starts = [], []
     for text in column.cast(pa.binary()):
         starts.append(len(flat))
@@ -94,107 +98,174 @@ def _tokens(column: pa.Array, ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, np.int64), np.array(starts, np.int64)
 
 
+def _added_up(h: np.ndarray, w: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The places of distinct bigrams (of each document, of which there are at most 256) and how often each occurs. The order is by a hash, but
+    bigrams themselves are compared, so two of one hash stay two."""
+    u = np.uint64
+    key = mix(h.view(u) * u(0x9E3779B97F4A7C15) ^ mix(w.view(u)))
+    if doc is not None:
+        key = key >> u(8) | doc.astype(u) << u(56)
+    order = np.argsort(key)
+    a, b = h[order], w[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    if doc is not None:
+        d = doc[order]
+        new[1:] |= d[1:] != d[:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
 def count_bigrams(docs: DataFrame, words: Broadcast, text_col: str = "text") -> DataFrame:
-    """(key, n): how often each pair of ids follows each other in all texts."""
+    """(h, w, n): how often each code follows each other in all texts, added up in each task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            key, n = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int64())], names=["key", "n"])
+            h, w = (np.concatenate(x) for x in zip(*found))
+            at, n = _added_up(h, w)
+            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(n, pa.int64())], names=["h", "w", "n"])
 
-        ids, size, found, held = _token_ids(words.value), len(words.value) + 2, [], 0
+        ids, found, held = _token_ids(words.value), [], 0
         for batch in batches:
-            t, _ = _tokens(batch.column(0), ids)
-            key = t[:-1] * size + t[1:]
-            found.append(key[t[1:] != START])
-            held += len(key)
-            if held > CHUNK_TOKENS:
-                yield out()
-                found, held = [], 0
+            for lo in range(0, batch.num_rows, 256):
+                t, _ = _tokens(batch.column(0).slice(lo, 256), ids)
+                real = t[1:] != START
+                found.append((t[:-1][real], t[1:][real]))
+                held += len(t)
+                if held > CHUNK_TOKENS:
+                    yield out()
+                    found, held = [], 0
         if found:
             yield out()
 
-    return docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "h long, w long, n long")
+
 
+def fit(target: DataFrame, background: DataFrame, text_col: str = "text") -> Models:
+    """Both models cover all words and bigrams of all texts of both tables; nothing rare is left out.
 
-def _shared(target: DataFrame, background: DataFrame, key: str, share: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Keys that hold ``share`` of either corpus, sorted, with their counts in both, and the totals of both."""
-    both = checkpoint(
-        target.select(key, F.col("n").alias("t"), F.lit(0).cast("long").alias("b")).unionByName(background.select(key, F.lit(0).cast("long").alias("t"), F.col("n").alias("b")))
-        .groupBy(key).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    Unigrams are smoothed by adding ADD; bigrams are discounted by DISCOUNT and what is left goes to the unigrams. The same vocabulary
+    and smoothing hold for both, so losses compare. Here only hot words are chosen, by a sample of both tables.
+    """
+    ship(background.sparkSession)
+    sides = [d.select(F.col(text_col).alias("text")) for d in (target, background)]
+    texts = tuple(d.where("text is not null").count() for d in sides)
+    some = [d.sample(min(1.0, SAMPLE / max(n, 1)), 7) if n > SAMPLE else d for d, n in zip(sides, texts)]
+    counts = checkpoint(count_words(some[0].unionByName(some[1])))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(1.0, HOT_WORDS * total)).select("h").toPandas()
+    return Models(*sides, np.sort(hot["h"].to_numpy(np.int64)), texts)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the cluster's shared folder, which is smaller than a checkpoint."""
+    spark: SparkSession = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-millrace'}/lm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bigrams(docs: DataFrame, models: Models, words: Broadcast) -> DataFrame:
+    """(h, w, t, b): all distinct bigrams of both corpora and of ``docs``, with their counts in target and background."""
+    sides = [(models.target, 1, 0), (models.background, 0, 1)]
+    if not docs.sameSemantics(models.background):
+        sides.append((docs, 0, 0))
+    rows = None
+    for d, t, b in sides:
+        more = count_bigrams(d, words).select("h", "w", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
+        rows = more if rows is None else rows.unionByName(more)
+    return rows.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def word_statistics(pairs: DataFrame, texts: tuple[int, int]) -> DataFrame:
+    """(code, seen_t, seen_b, left_t, left_b, uni_t, uni_b): of each word its count as a context (at least 1), what the discounted bigrams after
+    it leave to the unigrams, and its unigram probability, in both models."""
+    zero, over = F.lit(0).cast("long"), lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
+    sums = _stored(
+        pairs.select(F.col("h").alias("code"), over("t").alias("g_t"), over("b").alias("g_b"), zero.alias("n_t"), zero.alias("n_b"))
+        .unionByName(pairs.select(F.col("w").alias("code"), F.lit(0.0).alias("g_t"), F.lit(0.0).alias("g_b"), F.col("t").alias("n_t"), F.col("b").alias("n_b")))
+        .groupBy("code").agg(*(F.sum(c).alias(c) for c in ("g_t", "g_b", "n_t", "n_b")))
     )
-    totals = [int(x or 0) for x in both.agg(F.sum("t"), F.sum("b")).first()]
-    kept = both.where((F.col("t") >= max(1.0, share * totals[0])) | (F.col("b") >= max(1.0, share * totals[1]))).orderBy(key).toPandas()
-    return kept[key].to_numpy(np.int64), kept[["t", "b"]].to_numpy(np.float64).T.reshape(2, -1), totals
+    size, *totals = sums.agg(F.count_if(F.col("n_t") + F.col("n_b") > 0), F.sum("n_t"), F.sum("n_b")).first()
+    out = [F.col("code")]
+    for m, total, n in zip("tb", totals, texts):
+        seen = F.greatest(F.when(F.col("code") == START, F.lit(n)).otherwise(F.col(f"n_{m}")), F.lit(1))
+        out += [seen.alias(f"seen_{m}"), F.least(F.greatest(1 - F.col(f"g_{m}") / seen, F.lit(1e-6)), F.lit(1.0)).alias(f"left_{m}")]
+        out.append(((F.col(f"n_{m}") + ADD) / F.lit((total or 0) + ADD * (size + 2))).alias(f"uni_{m}"))
+    return sums.select(*out)
 
 
-def fit(target: DataFrame, background: DataFrame, text_col: str = "text") -> Models:
-    """Both models, from all texts of both tables: words first, then pairs of words of the shared vocabulary.
+def _join_words(rows: DataFrame, side: str, words: DataFrame) -> DataFrame:
+    """Hot words, which have few codes and many rows, are broadcast; all others are joined by a shuffle."""
+    hot = rows.where(F.col(side) >= 0).join(F.broadcast(words.where(F.col(side) >= 0)), side)
+    return hot.unionByName(rows.where(F.col(side) < 0).join(words.where(F.col(side) < 0).hint("merge"), side))
 
-    Unigrams are smoothed by adding ADD; bigrams are discounted by DISCOUNT and what is left (with the bigrams that the models
-    leave out) goes to the unigrams. The same vocabulary, bigrams and smoothing hold for both, so losses compare.
-    """
-    spark = background.sparkSession
-    ship(spark)
-    words, n, totals = _shared(count_words(target, text_col), count_words(background, text_col), "h", WORD_SHARE)
-    size = len(words) + 2
-    counts = np.zeros((2, size))
-    counts[:, 2:] = n
-    counts[:, OTHER] = np.array(totals) - n.sum(1)
-    unigram = np.log((counts + ADD) / (counts.sum(1, keepdims=True) + ADD * size))
-    sent = spark.sparkContext.broadcast(words)
-    keys, pairs, _ = _shared(count_bigrams(target, sent, text_col), count_bigrams(background, sent, text_col), "key", BIGRAM_SHARE)
-    before, after = keys // size, keys % size
-    context = counts.copy()
-    for m, docs in enumerate((target, background)):
-        context[m, START] = docs.where(F.col(text_col).isNotNull()).count()
-    bigram, backoff = np.zeros((2, len(keys))), np.zeros((2, size))
-    for m in (0, 1):
-        seen = np.maximum(context[m], 1)
-        part = np.maximum(pairs[m] - DISCOUNT, 0) / seen[before]
-        left = np.clip(1 - np.bincount(before, part, size), 1e-6, 1.0)
-        backoff[m] = np.log(left)
-        bigram[m] = np.log(part + left[before] * np.exp(unigram[m][after]))
-    return Models(words, keys, unigram, bigram, backoff)
-
-
-def losses(t: np.ndarray, models: Models) -> np.ndarray:
-    """Loss of each token but the first under both models."""
-    size = len(models.words) + 2
-    before, after = t[:-1], t[1:]
-    out = -(models.backoff[:, before] + models.unigram[:, after])
-    if len(models.keys):
-        key = before * size + after
-        at = np.minimum(np.searchsorted(models.keys, key), len(models.keys) - 1)
-        hit = models.keys[at] == key
-        out[:, hit] = -models.bigram[:, at[hit]]
-    return out
+
+def pair_losses(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(h, w, loss_t, loss_b): the loss of each bigram under both models, in nats."""
+    before = words.select(F.col("code").alias("h"), "seen_t", "seen_b", "left_t", "left_b")
+    after = words.select(F.col("code").alias("w"), "uni_t", "uni_b")
+
+    def parts(m: str) -> list[Column]:
+        return [(F.greatest(F.col(m) - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"seen_{m}")).alias(f"part_{m}"), F.col(f"left_{m}")]
+
+    rows = _join_words(pairs, "h", before).select("h", "w", *parts("t"), *parts("b"))
+    loss = lambda m: (-F.log(F.col(f"part_{m}") + F.col(f"left_{m}") * F.col(f"uni_{m}"))).alias(f"loss_{m}")
+    return _join_words(rows, "w", after).select("h", "w", loss("t"), loss("b"))
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document: mean losses by token, in nats, and their difference;
     a low score means a text that is more like the target than the background is. Null, empty and blank texts have no tokens and null
-    losses. Repeated rows are scored each; other columns don't pass. The models are of bounded size and broadcast; no shuffle."""
+    losses. Repeated rows are scored each; other columns don't pass. Words in neither corpus have the probability of an unseen one.
+
+    Losses of hot bigrams are broadcast and added up in the tasks. All others are joined: tasks count them by document, and each
+    document's losses are added up after the join."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(models)
+    sent = spark.sparkContext.broadcast(models.words)
+    size = len(models.words) + 2
+    pairs = _stored(bigrams(docs.select(F.col(text_col).alias("text")), models, sent))
+    words = word_statistics(pairs, models.texts)
+    total = pairs.agg(F.sum(F.col("t") + F.col("b"))).first()[0] or 0
+    often = pairs.where((F.col("h") >= 0) & (F.col("w") >= 0) & (F.col("t") + F.col("b") >= max(1.0, HOT_BIGRAMS * total)))
+    hot = pair_losses(often, words.where("code >= 0")).toPandas()
+    keys = hot["h"].to_numpy(np.int64) * size + hot["w"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    table = spark.sparkContext.broadcast((keys[order], hot[["loss_t", "loss_b"]].to_numpy(np.float64)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        ids = _token_ids(m.words)
+        ids, (keys, known) = _token_ids(sent.value), table.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                t, starts = _tokens(part.column(1), ids)
-                n = np.diff(np.append(starts, len(t))) - 1
-                if len(t) > 1:
-                    loss = np.concatenate([np.zeros((2, 1)), np.where(t[1:] == START, 0.0, losses(t, m))], axis=1)
-                    sums = np.add.reduceat(loss, starts, axis=1) / np.maximum(n, 1)
-                else:
-                    sums = np.zeros((2, len(n)))
-                none = n == 0
-                columns = [pa.array(x, pa.float64(), mask=none) for x in (sums[0], sums[1], sums[0] - sums[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *columns], names=names)
-
-    names = [id_col, "n_tokens", "target_loss", "background_loss", "score"]
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, target_loss double, background_loss double, score double")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                t, starts = _tokens(part.column(2), ids)
+                n_tokens = np.diff(np.append(starts, len(t))) - 1
+                doc = np.repeat(np.arange(len(starts)), n_tokens)
+                real = t[1:] != START
+                h, w = t[:-1][real], t[1:][real]
+                sums = np.zeros((2, len(starts)))
+                if len(keys):
+                    key = np.where((h >= 0) & (w >= 0), h * size + w, -1)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[at] == key
+                    for m in (0, 1):
+                        sums[m] = np.bincount(doc[hit], known[at[hit], m], len(starts))
+                    h, w, doc = h[~hit], w[~hit], doc[~hit]
+                at, n = _added_up(h, w, doc)
+                uid = part.column(0).to_numpy()
+                none = pa.nulls(len(at), pa.float64())
+                # one row of the document itself, of a key that no bigram has, and its bigrams
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.full(len(uid), NONE)), pa.array(uid), pa.array(n_tokens), pa.array(sums[0]), pa.array(sums[1]), part.column(1)], names=names)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[doc[at]]), pa.array(h[at]), pa.array(w[at]), pa.array(n, pa.int64()), none, none, pa.nulls(len(at), part.column(1).type)], names=names)
+
+    names = ["uid", "h", "w", "n", "t", "b", "id"]
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"uid long, h long, w long, n long, t double, b double, id {dict(docs.dtypes)[id_col]}")
+    rows = rows.join(pair_losses(pairs, words).hint("merge"), ["h", "w"], "left")
+    own = F.col("h") == NONE
+    loss = lambda m: F.sum(F.when(own, F.col(m)).otherwise(F.col("n") * F.col(f"loss_{m}"))).alias(m)
+    found = rows.groupBy("uid").agg(F.max(F.when(own, F.col("n"))).alias("n_tokens"), loss("t"), loss("b"), F.max("id").alias(id_col))
+    mean = lambda m: F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens"))
+    found = found.select(id_col, "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

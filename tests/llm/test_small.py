@@ -1,5 +1,6 @@
 """Nulls, empty texts, ties, repeated rows, empty tables and extra columns, for every operator; exact expectations on small tables."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -133,6 +134,38 @@ def test_losses_against_plain_counts(spark, docs, none):
     assert lm_scoring.score(docs, lm_scoring.fit(none, none)).count() == docs.count()
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_rare_words_and_bigrams_stay_in_the_models(spark, monkeypatch, hot):
+    """A corpus of so many tokens that a share of them leaves words and bigrams out; and the same with nothing broadcast at all."""
+    if not hot:
+        monkeypatch.setattr(lm_scoring, "HOT_WORDS", 2.0)
+        monkeypatch.setattr(lm_scoring, "HOT_BIGRAMS", 2.0)
+    ground = spark.createDataFrame([("x y " * 700_000 + "once only",), ("x rare y",), (None,)], "text string")
+    target = spark.createDataFrame([("x y rare",)], "text string")
+    texts = ["once only", "only once", "x rare y", "x y x y", "unseen words", "", None, "x rare y"]
+    docs = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = by_id(lm_scoring.score(docs, lm_scoring.fit(target, ground)))
+
+    def loss(corpus, text):
+        uni, bi = collections.Counter(w for t in corpus for w in t), collections.Counter((h, w) for t in corpus for h, w in zip(["<s>", *t], t))
+        after = collections.Counter()
+        for (h, _), n in bi.items():
+            after[h] += max(n - lm_scoring.DISCOUNT, 0)
+        total, out = sum(uni.values()) + lm_scoring.ADD * (5 + 2), 0  # x, y, once, only, rare
+        for h, w in zip(["<s>", *text], text):
+            seen = max(len(corpus) if h == "<s>" else uni[h], 1)
+            out -= np.log(max(bi[h, w] - lm_scoring.DISCOUNT, 0) / seen + max(1 - after[h] / seen, 1e-6) * (uni[w] + lm_scoring.ADD) / total)
+        return out / len(text)
+
+    big, small = [["x", "y"] * 700_000 + ["once", "only"], ["x", "rare", "y"]], [["x", "y", "rare"]]
+    assert len(out) == len(texts)
+    for r in out:
+        words = (texts[7 if r["doc_id"] is None else r["doc_id"]] or "").split()
+        assert r["n_tokens"] == len(words)
+        want = (loss(small, words), loss(big, words)) if words else (None, None)
+        assert (r["target_loss"], r["background_loss"]) == (pytest.approx(want[0]), pytest.approx(want[1])) if words else r["score"] is None
+
+
 # ---- op5
 
 
