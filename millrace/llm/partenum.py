@@ -34,6 +34,8 @@ FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 U = np.uint64
+#: What word polynomials are of, modulo 2 ** 64.
+BASE = 0xD6E8FEB86659FD93
 MULT, MULT2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,14 +53,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low = np.arange(256, dtype=np.uint8)
     low[65:91] += 32
     space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-    base = 0xD6E8FEB86659FD93
     powers = lambda p: np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(BLOCK + 1, p, U))))
     with np.errstate(over="ignore"):
-        return low, space, powers(base), powers(pow(base, -1, 1 << 64))
+        return low, space, powers(BASE), powers(pow(BASE, -1, 1 << 64))
 
 
-def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of a block of at most BLOCK bytes, and where each word starts: differences of one running polynomial."""
+def word_sums(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a block of at most BLOCK bytes the polynomial sum, the length and the start: differences of one running polynomial."""
     low, space, power, inverse = _tables()
     raw = np.frombuffer(block, np.uint8)
     word = np.concatenate(([False], ~space[raw], [False]))
@@ -66,12 +67,41 @@ def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, U), np.cumsum((low[raw].astype(U) + U(1)) * power[: len(raw)], dtype=U)))
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * MULT2), starts
+        return (sums[ends] - sums[starts]) * inverse[starts], ends - starts, starts
+
+
+def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a block of at most BLOCK bytes, and where each word starts."""
+    sums, lengths, starts = word_sums(block)
+    with np.errstate(over="ignore"):
+        return mix(sums + lengths.astype(U) * MULT2), starts
+
+
+def long_word_hashes(text: bytes) -> np.ndarray:
+    """The same hashes of a text of any length. A word that a block's end cuts goes on in the next block: its sum and length so far are carried."""
+    all_sums, all_lengths = [], []
+    carried, length = 0, 0
+    for at in range(0, len(text), BLOCK):
+        block = text[at : at + BLOCK]
+        sums, lengths, starts = word_sums(block)
+        if length and len(starts) and starts[0] == 0:
+            sums[0] = U((carried + int(sums[0]) * pow(BASE, length, 1 << 64)) % (1 << 64))
+            lengths[0] += length
+        elif length:
+            sums, lengths = np.concatenate((np.array([carried], U), sums)), np.concatenate(([length], lengths))
+        length = 0
+        if len(starts) and not block[-1:].isspace() and at + BLOCK < len(text):
+            carried, length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        all_sums.append(sums)
+        all_lengths.append(lengths)
+    with np.errstate(over="ignore"):
+        return mix(np.concatenate(all_sums) + np.concatenate(all_lengths).astype(U) * MULT2)
 
 
 def shingle_sets(texts: Iterable[bytes | None], k: int) -> Iterator[np.ndarray]:
     """Of each text its distinct k-word shingles as sorted 64-bit hashes. A text of fewer words than k is one shingle; one without words
-    has none. Texts are hashed together in blocks; long ones are cut between words."""
+    has none. Texts are hashed together in blocks, long ones block by block; words may be longer than a block."""
 
     def combine(h: np.ndarray, size: int) -> np.ndarray:
         n = max(len(h) - size + 1, 0)
@@ -103,15 +133,7 @@ def shingle_sets(texts: Iterable[bytes | None], k: int) -> Iterator[np.ndarray]:
             held.append(text)
             size += len(text) + 1
             continue
-        hashes, at = [], 0
-        while at < len(text):  # a long text, block by block; a word of more than half a block is cut there
-            end = min(at + BLOCK, len(text))
-            if end < len(text):
-                cut = max(text.rfind(c, at + BLOCK // 2, end) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
-                end = cut if cut > 0 else end
-            hashes.append(word_hashes(text[at:end])[0])
-            at = end
-        h = np.concatenate(hashes)
+        h = long_word_hashes(text)
         yield np.unique(combine(h, min(k, len(h)))) if len(h) else np.empty(0, U)
     if held:
         yield from whole(held)

@@ -380,6 +380,19 @@ def test_shingles_of_long_texts():
     assert len(text) > partenum.BLOCK and len(next(partenum.shingle_sets([text], 5))) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
 
 
+def test_words_longer_than_blocks():
+    """A word is one, wherever blocks end in it; near copies share its shingles."""
+    size = lambda text: len(next(partenum.shingle_sets([text], 5)))
+    long = (b"0123456789aBcDeF" * (3 << 16))[: 3 * partenum.BLOCK - 77]
+    assert size(b"a b c " + long) == size(b"a b c " + long + b" ") == 1 and size(b"a b c d " + long + b" e") == 2
+    words = [f"w{i}".encode() for i in range(20)]
+    a, b = partenum.shingle_sets([b" ".join([*words, long]), b" ".join([b"w0x", *words[1:], long])], 5)
+    assert (len(a), len(b), len(np.intersect1d(a, b))) == (17, 17, 16)
+    for n in range(partenum.BLOCK - 3, partenum.BLOCK + 4):  # words that end, start and stand alone around the end of a block
+        text = b"x" * n + b" yy " + b"z" * partenum.BLOCK + b"\tq r s t"
+        assert size(text) == 3 and len(np.intersect1d(next(partenum.shingle_sets([text], 5)), next(partenum.shingle_sets([b"p " + text], 5)))) == 3
+
+
 def test_components_of_links(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5100)]
