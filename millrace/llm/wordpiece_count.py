@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -13,8 +14,9 @@ from millrace.llm._common import ship, split_words
 
 #: Distinct words that a worker remembers; then it starts afresh. Longer words aren't remembered.
 WORDS, LONGEST = 600_000, 64
-#: Longer words are one unknown token, as in the usual greedy tokenizer.
-MAX_CHARS = 100
+#: Longer words would be one unknown token, as in the usual greedy tokenizer after its splits at punctuation; words here are cut at
+#: white space only, so there is no such limit.
+MAX_CHARS = math.inf
 
 
 def pieces_of(vocabulary: Iterable[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -109,8 +111,8 @@ def _counts(pieces: Broadcast) -> _Counts:
 def count_word_pieces(docs: DataFrame, initial: list[str], continuing: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every document's whole text.
 
-    n_tokens sums the pieces of all words; a word that can't be cut, or of more than MAX_CHARS characters, is one unknown
-    token and counts in n_unknown. Null and empty texts have zeros. Repeated rows are counted each. There is no shuffle.
+    n_tokens sums the pieces of all words; a word of any length that can't be cut is one unknown token
+    and counts in n_unknown. Null and empty texts have zeros. Repeated rows are counted each. There is no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -228,6 +228,13 @@ def test_counts_equal_greedy_matching(docs, none):
     assert len(out) == docs.count() and wordpiece_count.count_word_pieces(none, initial, continuing).count() == 0
 
 
+def test_long_words_are_cut_too(spark):
+    """Words of any length are their pieces; only what can't be cut is unknown."""
+    assert wordpiece_count.LongestMatch({"ab"}, {"abc", "b"}).count("ab" + "abcb" * 50_000) == 100_001
+    df = spark.createDataFrame([(1, "ab" + "abc" * 40 + " ab" + "abc" * 40 + "z ab")], "doc_id long, text string")
+    assert [tuple(r) for r in wordpiece_count.count_word_pieces(df, ["ab"], ["abc"]).collect()] == [(1, 3, 43, 1)]
+
+
 # ---- op7
 
 
