@@ -13,8 +13,8 @@ from millrace.llm._common import labelled_sample, ship, split_words
 UPPER = bytes(range(65, 91))
 SYMBOLS = b"#*$%&|<>"
 DIGITS = b"0123456789"
-#: Documents that the field is fitted on at most, and lines taken of each of those.
-FIT_DOCS, FIT_LINES = 1000, 60
+#: Documents that the field is fitted on at most, all lines of each, and lines of a sequence: longer ones are cut into consecutive pieces.
+FIT_DOCS, FIT_LINES = 1000, 64
 N_FEATURES = 14
 #: States: 0 content, 1 boilerplate.
 
@@ -110,8 +110,8 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], steps: int = 120, rate:
 def training_sequences(sample: list[tuple[int, str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Line sequences with labels: those of good documents are content, those of bad ones boilerplate (but for a bad document's
     lines that look like any good one's, which the fit evens out). Each bad document stands between two halves of a good one,
-    so that the field learns how runs of either kind follow each other."""
-    good, bad = ([(d, lines_of(t.encode())[1][:FIT_LINES]) for d, t, label in sample if label == want] for want in (1, 0))
+    so that the field learns how runs of either kind follow each other. All lines are used; a sequence has at most FIT_LINES of them."""
+    good, bad = ([(d, lines_of(t.encode())[1]) for d, t, label in sample if label == want] for want in (1, 0))
     good, bad = ([f for _, f in x if len(f)] for x in (good, bad))
     out = []
     for k, f in enumerate(bad):
@@ -119,7 +119,7 @@ def training_sequences(sample: list[tuple[int, str, int]]) -> list[tuple[np.ndar
         half = (len(host) + 1) // 2
         out.append((np.concatenate([host[:half], f, host[half:]]), np.repeat([0, 1, 0], [half, len(f), len(host) - half])))
     out += [(f, np.zeros(len(f), dtype=np.int64)) for f in good[len(bad) : 3 * len(bad) + 50]]
-    return out
+    return [(f[at : at + FIT_LINES], y[at : at + FIT_LINES]) for f, y in out for at in range(0, len(y), FIT_LINES)]
 
 
 def repeated_words(words: list[bytes]) -> int:

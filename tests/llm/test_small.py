@@ -480,3 +480,15 @@ def test_base_counts(spark, docs, none):
     kept = line_crf.filter_documents(docs, weights, transitions)
     judged = line_crf.judge_lines(docs, weights, transitions)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in judged.where("kept").collect())
+
+
+def test_all_lines_of_the_sample_are_fitted():
+    """Late lines of long documents are in the sequences, cut into consecutive pieces of bounded length."""
+    good = [f"A plain line of words number {i} ends here." for i in range(700)]
+    bad = [f"BUY {i} NOW" for i in range(900)]
+    sequences = line_crf.training_sequences([(1, "\n".join(good), 1), (2, "\n".join(bad), 0), (3, "\n".join(good), 1)] + [(i, "\n".join(good), 1) for i in range(4, 6)])
+    labels = np.concatenate([y for _, y in sequences])
+    assert (labels == 1).sum() == 900 and (labels == 0).sum() == 4 * 700 and max(len(y) for _, y in sequences) <= 64
+    found = np.concatenate([f for f, _ in sequences])
+    want = [line_crf.lines_of("\n".join(x).encode())[1] for x in (good, bad)]
+    assert np.array_equal(found[:1600], np.concatenate([want[0][:350], want[1], want[0][350:]]))
