@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word, everywhere in this subpackage: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Arrow batches of texts hold at most so many rows and bytes, where the session has Spark's defaults (10,000 rows, 64 MB): a task holds a few at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
 #: A small table is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -27,8 +30,11 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
+    """Send this package to the Python workers, once for each Spark context, and keep their Arrow batches small."""
     sc = spark.sparkContext
+    for key, (default, small) in ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
     root = Path(__file__).resolve().parents[1]
     if getattr(sc, "_millrace_shipped", False) or not root.is_dir():
         return

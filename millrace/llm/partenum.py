@@ -1,8 +1,9 @@
 """N-gram Jaccard join by PartEnum signatures: near-duplicate classes of word shingle sets.
 
 Two sets of sizes a <= b with 100 * |A & B| >= t * |A | B| differ in at most k elements, k following from the sizes. The domain of
-all shingles is cut into more parts than k, so similar sets agree in a whole part; the hash of a set's elements in
-one part is a signature, and similar sets of one size band share at least NEEDED of them (fewer in bands of small sets).
+all shingles is cut into more parts than k, so similar sets agree in whole parts; the hash of a set's elements in one part is a signature.
+A band of k differences has so many parts that similar sets share at least ``needed`` of its signatures. So each set is enumerated in the
+subsets of its parts that leave out the ``needed - 1`` most common ones: a pair still shares one of the rest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm._common import checkpoint, join_small, ship
@@ -22,17 +24,17 @@ from millrace.llm.components import connected_components
 #: Members of a signature group of which all pairs are passed on, a fixed number; larger groups are compared in tiles.
 PAIRED = 16
 #: Sets to one side of a tile.
-CHUNK = 512
-#: Signatures that a similar pair shares in bands of more parts than SMALL; below that, one.
-NEEDED, SMALL = 3, 16
-#: Turns in which larger groups are joined up; the last one takes all pairs that are left.
-ROUNDS = 4
+CHUNK = 2048
+#: Partners of a set to one group of pairs that are verified together.
+PARTNERS = 512
 #: Rows of one signature that a task holds; a larger group comes in pieces.
 HELD = 100_000
+#: Names of sets that a task remembers, so as not to sign copies again.
+SEEN = 200_000
 #: Bits of the filter that tells which sets are needed whole (2 MB, whatever the input).
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 U = np.uint64
 #: What word polynomials are of, modulo 2 ** 64.
 BASE = 0xD6E8FEB86659FD93
@@ -147,43 +149,50 @@ def parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd).tobytes()
 
 
-def parity_differences(maps: list[bytes]) -> np.ndarray:
-    """In how many bits the maps of a bounded group differ, after folding all to the width of the narrowest; so many bits at once that
-    memory doesn't grow with the texts."""
-    width = min(map(len, maps))
-    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) for m in maps])
-    out = np.zeros((len(maps), len(maps)))
-    for at in range(0, width, 1024):
-        bits = np.unpackbits(rows[:, at : at + 1024], axis=1).astype(np.float32)
-        ones = bits.sum(1)
-        out += ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+def parity_differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """In how many bits the maps of two bounded groups differ (left by right), after folding all to the width of the narrowest; so many
+    bits at once that memory doesn't grow with the texts."""
+    width = min(map(len, left + right))
+    a, b = (np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0) for m in maps]) for maps in (left, right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, width, 128):
+        x, y = (np.unpackbits(rows[:, at : at + 128], axis=1).astype(np.float32) for rows in (a, b))
+        out += x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)
     return out
 
 
-def differences(n: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
-    """At least so many elements differ between the sets of a bounded group (a square matrix); infinite where sizes or maps rule a link out."""
-    total = n[:, None] + n[None, :]
+def differences(n: np.ndarray, maps: list[bytes], other_n: np.ndarray, other_maps: list[bytes], percent: int) -> np.ndarray:
+    """At least so many elements differ between the sets of two bounded groups (a matrix); infinite where sizes or maps rule a link out."""
+    total = n[:, None] + other_n[None, :]
     most = total - 2 * -(-percent * total // (100 + percent))
-    fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    apart = parity_differences(maps)
-    return np.where(fits & (apart <= most + 0.5), apart, np.inf)
-
-
-def forest(apart: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a least spanning forest over finite differences; members with equal labels count as joined already."""
-    m = len(label)
-    done, best, source, out = np.zeros(m, bool), np.full(m, np.inf), np.zeros(m, np.int64), []
-    while not done.all():
-        at = int(np.argmin(np.where(done, np.inf, best)))
-        if done[at] or best[at] == np.inf:
-            at = int(np.flatnonzero(~done)[0])
-        else:
-            out.append((int(source[at]), at))
-        for i in np.flatnonzero(~done & (label == label[at])).tolist():
-            done[i] = True
-            nearer = apart[i] < best
-            best[nearer], source[nearer] = apart[i][nearer], i
-    return out
+    fits = 100 * np.minimum(n[:, None], other_n[None, :]) >= percent * np.maximum(n[:, None], other_n[None, :])
+    apart = parity_differences(maps, other_maps)
+    return np.where(fits & (apart <= most + 0.5), apart, np.float32(np.inf))
+
+
+def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j) make a least spanning forest; nodes with equal labels count as joined already. In each turn every tree takes
+    its nearest edge."""
+    order = np.argsort(apart, kind="stable")
+    tree = np.unique(label, return_inverse=True)[1]
+    out = []
+    while len(order):
+        ends = np.stack([tree[i[order]], tree[j[order]]], 1)
+        apart_still = ends[:, 0] != ends[:, 1]
+        order, ends = order[apart_still], ends[apart_still]
+        taken = np.unique(np.unique(ends.ravel(), return_index=True)[1] // 2)
+        to = np.arange(len(tree))
+        for x, y in ends[taken].tolist():
+            while to[x] != x:
+                x = to[x]
+            while to[y] != y:
+                y = to[y]
+            to[max(x, y)] = min(x, y)
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        tree = to[tree]
+        out.append(order[taken])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -201,22 +210,22 @@ def band_start(i: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def band(i: int, percent: int) -> tuple[int, int]:
-    """(parts, most empty parts) of band i; no parts if its sets only link to equal ones. In it the larger set of a pair lies. A pair of sizes that sum up to s shares at least
-    percent * s / (100 + percent) elements. Parts are more than
-    the differences by the number of signatures to be shared and of empty parts that go unsigned."""
+def band(i: int, percent: int) -> tuple[int, int, int]:
+    """(parts, most empty parts, needed) of band i; no parts if its sets only link to equal ones. In it the larger set of a pair lies. A pair of
+    sizes that sum up to s shares at least percent * s / (100 + percent) elements. Parts are more than the differences by
+    the number of signatures to be shared and of empty parts that go unsigned."""
     high = band_start(i + 1, percent) - 1
     most = max(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(2, 2 * high - 40), 2 * high + 1))
     least = -(-percent * band_start(i, percent) // 100)
     if most <= 0:
-        return 0, 0
-    needed = NEEDED if most >= SMALL else 1
+        return 0, 0, 0
+    needed = 1 + most // 10
     spare = 0
-    for _ in range(4):
+    for _ in range(8):
         parts = most + needed + spare
         empty = parts * (1 - 1 / parts) ** least
-        spare = int(empty + (1.2 + 0.7 * np.log10(parts)) * empty**0.5)
-    return most + needed + spare, spare
+        spare = int(empty + 1.5 * empty**0.5)
+    return most + needed + spare, spare, needed
 
 
 def bands_of(n: int, percent: int) -> list[int]:
@@ -234,44 +243,40 @@ def bands_of(n: int, percent: int) -> list[int]:
 
 def part_sums(shingles: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The parts that hold elements, and a hash of the elements in each."""
-    x = mix(shingles, seed)
+    x = np.sort(mix(shingles, seed))
     part = (x >> U(32)) * U(parts) >> U(32)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
     starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     with np.errstate(over="ignore"):
-        return part[starts], np.add.reduceat(mix(x[order], 77), starts)
+        return part[starts], np.add.reduceat(mix(x, 77), starts)
+
+
+#: Partitions of one band; in the last one empty parts are signed, too.
+LEVELS = 8
 
 
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set.
+    """All signatures of a set; the lowest eight bits are the band's number.
 
-    A set leaves its empty parts unsigned if they are no more than the band's spare parts: a pair that agrees in none but
-    parts that both leave out would differ in too many others. With more empty parts, each empty one is signed together with every
-    part of a second partition, and empty parts of that with a third: similar sets share a signature of each partition.
+    A set leaves its empty parts unsigned. If one set of a similar pair has no more empty parts than the band spares, the pair
+    shares ``needed`` signatures of parts that hold elements. A set with more empty parts goes on to a second partition, and so on: a pair
+    meets in the first partition in which one of the two has few enough.
     """
     out = []
     with np.errstate(over="ignore"):
         for i in bands_of(len(shingles), percent):
-            parts, spare = band(i, percent)
+            parts, spare, _ = band(i, percent)
             if not parts:
                 continue
-            weak = U(parts - spare - NEEDED < SMALL)  # the lowest bit tells that one shared signature is enough
             tag = mix(np.array([i + 1], U), 5)[0]
-            held, sums = part_sums(shingles, parts, i)
-            found = [mix(sums + (held + U(1)) * MULT2 + tag)]
-            if parts - len(held) > spare:
-                empty = np.setdiff1d(np.arange(parts, dtype=U), held)
-                held2, sums2 = part_sums(shingles, parts, 1000 + i)
-                empty2 = np.setdiff1d(np.arange(parts, dtype=U), held2)
-                held3, sums3 = part_sums(shingles, parts, 2000 + i)
-                all3 = np.concatenate([sums3 + (held3 + U(1)) * MULT2, np.setdiff1d(np.arange(parts, dtype=U), held3) * MULT])
-                for e in empty:
-                    outer = mix(np.array([e], U), 11)[0] + tag
-                    found.append(mix(sums2 + (held2 + U(1)) * MULT2 + outer, 1))
-                    for e2 in empty2:
-                        found.append(mix(all3 + outer + mix(np.array([e2], U), 13)[0], 2))
-            out += [x & ~U(1) | weak for x in found]
+            for level in range(LEVELS):
+                held, sums = part_sums(shingles, parts, i + 1000 * level)
+                found = mix(sums + (held + U(1)) * MULT2 + tag, level)
+                few = parts - len(held) <= spare
+                if not few and level == LEVELS - 1:
+                    found = np.concatenate([found, mix(np.setdiff1d(np.arange(parts, dtype=U), held) * MULT + tag, 9)])
+                out.append(found & ~U(255) | U(i & 255))
+                if few:
+                    break
     return np.concatenate(out) if out else np.empty(0, U)
 
 
@@ -305,7 +310,7 @@ def _shingle_rows(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, n_shingles long, fp long, map binary")
 
 
-def _once(batches, k: int, limit: int = 500_000) -> Iterator[tuple[int, np.ndarray]]:
+def _once(batches, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """The sets of a task's texts, copies only once (as far as the memory of names reaches)."""
     seen = set()
     for batch in batches:
@@ -313,7 +318,7 @@ def _once(batches, k: int, limit: int = 500_000) -> Iterator[tuple[int, np.ndarr
             if len(s):
                 name = fingerprint(s)
                 if name not in seen:
-                    if len(seen) >= limit:
+                    if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
                     yield name, s
@@ -324,100 +329,135 @@ def _signature_rows(docs: DataFrame, k: int, percent: int, text_col: str) -> Dat
         sigs, names, size = [], [], 0
         for name, s in _once(batches, k):
             found = signatures(s, percent)
-            sigs.append(found)
+            sigs.append(found.view(np.int64))
             names.append(np.full(len(found), name, np.int64))
             size += len(found)
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], names=["sig", "fp"])
+            if size > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names))], names=["sig", "fp"])
                 sigs, names, size = [], [], 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(names))], names=["sig", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names))], names=["sig", "fp"])
 
     return docs.select(text_col).mapInArrow(run, "sig long, fp long")
 
 
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """(sig, fp) of signatures that two or more sets have, without those that similar pairs can do without: of each set and band the
+    ``needed - 1`` most common ones. A pair that shares ``needed`` keeps the least common one that it shares, as all sets take signatures in the same order."""
+
+    def run(batches):
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        for sig, fp, piece in _runs(batches, HELD):
+            if piece:
+                size, keep = np.full(len(sig), HELD), slice(None)
+            else:
+                starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                size = np.repeat(np.diff(np.append(starts, len(sig))), np.diff(np.append(starts, len(sig))))
+                keep = size > 1
+            out.append((sig[keep], fp[keep], np.minimum(size[keep], HELD)))
+            held += len(out[-1][0])
+            if held > 20_000:
+                yield batch(out)
+                out, held = [], 0
+        if held:
+            yield batch(out)
+
+    def batch(out):
+        sig, fp, size = (np.concatenate(x) for x in zip(*out))
+        needed = [band(i, percent)[2] for i in range(int((sig & 255).max()) + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(fp), pa.array(size, pa.int32()), pa.array(np.array(needed, np.int32)[sig & 255])], names=["sig", "fp", "size", "needed"])
+
+    found = rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, fp long, size int, needed int")
+    common = W.partitionBy("fp", F.col("sig").bitwiseAND(255)).orderBy(F.desc("size"), "sig")
+    return found.withColumn("place", F.row_number().over(common)).where("place >= needed").select("sig", "fp")
+
+
 def _groups(rows: DataFrame) -> DataFrame:
-    """What signature groups of two or more sets say, as (a, b, weight, big).
+    """What signature groups of two or more sets say, as distinct (a, b, size).
 
-    Of a group of up to PAIRED sets each pair (a, b) gets a weight of 1, or NEEDED where one shared signature is enough. Of a
-    larger group each set is paired with the first one only, and all sets are passed on as (group, set) with ``big``; the group is named by
-    its members, so that one which many signatures find is compared once.
+    Of a group of up to PAIRED sets all pairs (a, b), with size 0. In a larger group each set is paired with the first one only, and all
+    sets are passed on as (group, set) with the group's size; the group is named by its members, so that one which many signatures
+    find is compared once. Of a group that comes in pieces the size is only known to be large.
     """
 
     def run(batches):
-        left, right, weight, big, held = [], [], [], [], 0
-        for sig, fp, first in _runs(batches):
-            if first is not None:  # a piece of a very large group
-                for x, y, w, whole in ((np.full(len(fp), first), fp, NEEDED if sig[0] & 1 else 1, False), (sig, fp, 1, True)):
+        left, right, size, held = [], [], [], 0
+        for sig, fp, piece in _runs(batches, HELD):
+            if piece:
+                for x, n in ((np.full(len(fp), piece[0]), 0), (sig, max(HELD, CHUNK + 1))):
                     left.append(x)
-                    right.append(y)
-                    weight.append(np.full(len(fp), w))
-                    big.append(np.full(len(fp), whole))
+                    right.append(fp)
+                    size.append(np.full(len(fp), n))
                 held += len(fp)
-                continue
-            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])))
-            sig, fp = sig[new], fp[new]
-            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            size = np.diff(np.append(starts, len(sig)))
-            for m in np.unique(size[size > 1]).tolist():
-                at = starts[size == m]
-                w = np.where(sig[at] & 1, NEEDED, 1)
-                i, j = np.triu_indices(m, 1) if m <= PAIRED else (np.zeros(m - 1, np.int64), np.arange(1, m))
-                left.append(fp[at[:, None] + i].ravel())
-                right.append(fp[at[:, None] + j].ravel())
-                weight.append(np.repeat(w, len(i)))
-                big.append(np.zeros(len(left[-1]), bool))
-                if m > PAIRED:
-                    every = (at[:, None] + np.arange(m)).ravel()
-                    names = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in fp[every].reshape(-1, m)]
-                    left.append(np.repeat(np.array(names, np.int64), m))
-                    right.append(fp[every])
-                    weight.append(np.ones(len(every), np.int64))
-                    big.append(np.ones(len(every), bool))
-                held += len(at) * m
+            else:
+                starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                sizes = np.diff(np.append(starts, len(sig)))
+                for m in np.unique(sizes[sizes > 1]).tolist():
+                    at = starts[sizes == m]
+                    i, j = np.triu_indices(m, 1) if m <= PAIRED else (np.zeros(m - 1, np.int64), np.arange(1, m))
+                    left.append(fp[at[:, None] + i].ravel())
+                    right.append(fp[at[:, None] + j].ravel())
+                    size.append(np.zeros(len(left[-1]), np.int64))
+                    if m > PAIRED:
+                        every = (at[:, None] + np.arange(m)).ravel()
+                        names = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in fp[every].reshape(-1, m)]
+                        left.append(np.repeat(np.array(names, np.int64), m))
+                        right.append(fp[every])
+                        size.append(np.full(len(every), m))
+                    held += len(at) * m
             if held > 20_000:
-                yield _batch(left, right, weight, big)
-                left, right, weight, big, held = [], [], [], [], 0
+                yield _batch(left, right, size)
+                left, right, size, held = [], [], [], 0
         if held:
-            yield _batch(left, right, weight, big)
+            yield _batch(left, right, size)
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "a long, b long, weight long, big boolean")
+    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "a long, b long, size long").where("size > 0 or a <> b").distinct()
 
 
-def _batch(left, right, weight, big) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right, weight, big)], names=["a", "b", "weight", "big"])
+def _batch(left, right, size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right, size)], names=["a", "b", "size"])
 
 
-def _runs(batches) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
-    """Rows (signature, set) of a sorted stream, cut between signatures. A group of more than HELD rows comes in pieces, each with the
-    group's first set; else that is None."""
+def _runs(batches, held: int) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int] | None]]:
+    """Distinct rows (signature, set) of a sorted stream, cut between signatures. A group of more than ``held`` rows comes in pieces, each with
+    (the group's first set,); else that is None."""
     rest: list[tuple[np.ndarray, np.ndarray]] = []
-    first = None
+    piece = None
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([x for x, _ in rest]), np.concatenate([x for _, x in rest])
 
+    last_sig = last_fp = piece_sig = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
         sig, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
+        new[:1] &= not (len(sig) and sig[0] == last_sig and fp[0] == last_fp)
+        sig, fp = sig[new], fp[new]
+        if not len(sig):
+            continue
+        last_sig, last_fp = sig[-1], fp[-1]
         if rest and rest[-1][0][-1] != sig[0]:  # the open group has ended
-            yield *joined(), first
-            rest, first = [], None
+            yield *joined(), piece
+            rest, piece = [], None
+        elif piece and not rest and piece_sig != sig[0]:
+            piece = None
         end = int(np.searchsorted(sig, sig[0], "right"))
         rest.append((sig[:end], fp[:end]))
         if end < len(sig):
-            yield *joined(), first
+            yield *joined(), piece
             last = int(np.searchsorted(sig, sig[-1]))
             if end < last:
                 yield sig[end:last], fp[end:last], None
-            rest, first = [(sig[last:], fp[last:])], None
-        elif sum(len(x) for x, _ in rest) > HELD:
-            first = int(rest[0][1][0]) if first is None else first
-            yield *joined(), first
-            rest = [(sig[-1:], fp[-1:])]
+            rest, piece = [(sig[last:], fp[last:])], None
+        elif sum(len(x) for x, _ in rest) > held:
+            piece = piece or (int(rest[0][1][0]),)
+            piece_sig = int(rest[0][0][0])
+            yield *joined(), piece
+            rest = []
     if rest:
-        yield *joined(), first
+        yield *joined(), piece
 
 
 def _whole_sets(docs: DataFrame, names: DataFrame, k: int, text_col: str) -> DataFrame:
@@ -458,21 +498,21 @@ def _survivors(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n = np.stack([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()], 1)
             maps = zip(batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist())
-            keep = [bool(np.isfinite(differences(n[i], list(m), percent)[0, 1])) for i, m in enumerate(maps)]
+            keep = [bool(np.isfinite(differences(n[i, :1], [x], n[i, 1:], [y], percent)[0, 0])) for i, (x, y) in enumerate(maps)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int, text_col: str) -> DataFrame:
-    """The pairs that link. Pairs are grouped by one end, whose set comes once; a set with very many partners is dealt over several groups."""
-    pairs = checkpoint(pairs.distinct())
+    """The distinct pairs that link. Pairs are grouped by one end, whose set comes once; a set with very many partners is dealt over several groups."""
+    pairs = checkpoint(pairs)
     names = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = checkpoint(_whole_sets(docs, names, k, text_col))
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("part"))
     sizes = pairs.groupBy("a").count()
-    dealt = dealt.join(sizes, "a").withColumn("part", F.when(F.col("count") > CHUNK, F.col("part")).otherwise(0)).withColumn("gid", F.xxhash64("a", "part"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PARTNERS))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", part).alias("gid"))
     rows = dealt.select("gid", F.col("b").alias("fp"), F.lit(1).alias("side")).unionByName(dealt.select("gid", F.col("a").alias("fp"), F.lit(0).alias("side")).distinct())
+    sets = _whole_sets(docs, names, k, text_col)
 
     def run(batches):
         key = head = None
@@ -494,48 +534,48 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, k: int, text_col:
     return rows.join(sets, "fp").repartition("gid").sortWithinPartitions("gid", "side").mapInArrow(run, "a long, b long")
 
 
-def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, rejected: DataFrame, percent: int, few: bool) -> DataFrame:
-    """Pairs (gid, a, b) inside larger groups to verify next: those that sizes and maps allow, that aren't in one component yet and
-    haven't been rejected.
+def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, few: bool) -> DataFrame:
+    """Pairs (gid, a, b) inside larger groups to verify next: those that sizes and maps allow and that aren't in one component yet.
 
-    Sets of the first set's component need no comparison with each other; the others are compared with all. A group of up to CHUNK sets
+    Sets of a group's most frequent component need no comparison with each other; the others are compared with all. A group of up to CHUNK sets
     is one task's tile. Of a larger one, each pair of a chunk of others and a chunk of all sets is a tile, so no task holds more
     than two chunks of maps. With ``few`` a tile gives the edges of a forest that would join all it can, so the pairs grow with the
     rows; else all pairs.
     """
-    rows = big.join(labels, big["fp"] == labels["node"], "left").select("gid", "fp", F.coalesce("component", "fp").alias("label"))
-    heads = rows.groupBy("gid").agg(F.min_by("label", "fp").alias("head"), F.count(F.lit(1)).alias("m"))
-    rows = rows.join(heads, "gid").withColumn("other", F.col("label") != F.col("head"))
-    counts = rows.groupBy("gid").agg(F.count_if("other").alias("others")).where("others > 0")
-    lists = rejected.groupBy(F.col("a").alias("fp")).agg(F.collect_list("b").alias("no"))
-    rows = rows.join(counts, "gid").join(lists, "fp", "left")
+    rows = checkpoint(big.join(labels, big["fp"] == labels["node"], "left").select("gid", "fp", "size", F.coalesce("component", "fp").alias("label")))
+    heads = rows.groupBy("gid").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.mode("label").alias("head")).where("l0 < l1").select("gid", "head")
+    rows = rows.join(heads, "gid").select("gid", "fp", "size", "label", (F.col("label") != F.col("head")).alias("other"))
+    many = rows.where(F.col("size") > CHUNK)
+    counts = many.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.count_if("other").alias("others"))
+    many = many.join(counts, "gid")
     chunks = lambda n: F.floor((F.col(n) - 1) / CHUNK) + 1
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), n)
-    data, many = ["gid", "fp", "label", "no"], F.col("m") > CHUNK
-    zero = F.lit(0).cast("long")
-    whole = rows.where(~many).select(*data, zero.alias("x"), zero.alias("y"), F.when(F.col("other"), 2).otherwise(1).alias("side"))
-    asks = rows.where(many & F.col("other")).select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
-    answers = rows.where(many).select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
+    data, zero = ["gid", "fp", "label"], F.lit(0).cast("long")
+    whole = rows.where(F.col("size") <= CHUNK).select(*data, zero.alias("x"), zero.alias("y"), F.when(F.col("other"), 2).otherwise(1).alias("side"))
+    asks = many.where("other").select(*data, own(chunks("others"), 1).alias("x"), every(chunks("m")).alias("y"), F.lit(0).alias("side"))
+    answers = many.select(*data, every(chunks("others")).alias("x"), own(chunks("m"), 2).alias("y"), F.lit(1).alias("side"))
 
     def run(batches):
         for _, t in grouped(batches):
-            side, fp, label = (t.column(c).to_numpy() for c in ("side", "fp", "label"))
-            apart = differences(t.column("n_shingles").to_numpy(), t.column("map").to_pylist(), percent)
-            both = side[:, None] + side[None, :]  # others (2) meet all; asking ones (0) only answering ones (1)
-            apart[(both == 0) | (both == 2) | (label[:, None] == label[None, :])] = np.inf
-            for i, no in enumerate(t.column("no").to_pylist()):
-                if no:
-                    hit = np.isin(fp, no)
-                    apart[i, hit] = apart[hit, i] = np.inf
-            pairs = np.array(forest(apart, label) if few else np.argwhere(np.isfinite(apart) & np.triu(np.ones(apart.shape, bool), 1)), np.int64).reshape(-1, 2)
-            if len(pairs):
-                x, y = fp[pairs[:, 0]], fp[pairs[:, 1]]
-                gid = np.full(len(x), t.column("gid")[0].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["gid", "a", "b"])
+            side, fp, label, n = (t.column(c).to_numpy() for c in ("side", "fp", "label", "n_shingles"))
+            maps = t.column("map").to_pylist()
+            x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: asks and answers
+            if not len(x) or not len(y):
+                continue
+            apart = differences(n[x], [maps[i] for i in x], n[y], [maps[i] for i in y], percent)
+            apart[label[x][:, None] == label[y][None, :]] = np.inf
+            i, j = np.nonzero(np.isfinite(apart))
+            w, i, j = apart[i, j], x[i], y[j]
+            if few:
+                taken = forest(i, j, w, label)
+                i, j = i[taken], j[taken]
+            if len(i):
+                a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t.column("gid")[0].as_py())), pa.array(a), pa.array(b)], names=["gid", "a", "b"])
 
     tiles = whole.unionByName(asks).unionByName(answers).withColumn("tile", F.xxhash64("gid", "x", "y")).join(classes.select("fp", "n_shingles", "map"), "fp")
-    return tiles.select("tile", "gid", "side", "fp", "label", "n_shingles", "map", "no").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "gid long, a long, b long")
+    return tiles.select("tile", "gid", "side", "fp", "label", "n_shingles", "map").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "gid long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -549,24 +589,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     ship(docs.sparkSession)
     slim = checkpoint(_shingle_rows(docs, k, id_col, text_col))
     classes = slim.where("fp is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.min(id_col).alias("first"))
-    groups = checkpoint(_groups(_signature_rows(docs, k, percent, text_col)).groupBy("a", "b", "big").agg(F.sum("weight").alias("weight")))
-    pairs = groups.where((~F.col("big")) & (F.col("weight") >= NEEDED) & (F.col("a") != F.col("b"))).select("a", "b")
-    links = checkpoint(_verified(docs, _survivors(pairs, classes, percent), percent, k, text_col))
-    big = groups.where("big").select(F.col("a").alias("gid"), F.col("b").alias("fp"))
-    rejected, labels = links.limit(0), None
-    for turn in range(ROUNDS):  # most groups are joined by the first forests; the last turn compares whatever is left
-        labels = connected_components(links)
-        more = checkpoint(_within_big(big, classes, labels, rejected, percent, few=turn < ROUNDS - 1))
+    groups = checkpoint(_groups(_shared(_signature_rows(docs, k, percent, text_col), percent)))
+    big = groups.where("size > 0").select(F.col("a").alias("gid"), F.col("b").alias("fp"), "size")
+    tried = _survivors(groups.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, percent)
+    links = checkpoint(_verified(docs, tried, percent, k, text_col))
+    for few in (True, False):  # most groups are joined by the first forests; the second turn compares whatever is left
+        more = checkpoint(_within_big(big, classes, connected_components(links), percent, few))
         if more.isEmpty():
             break
-        found = checkpoint(_verified(docs, more.select("a", "b"), percent, k, text_col))
-        links, labels = checkpoint(links.unionByName(found)), None
-        failed = checkpoint(more.join(found, ["a", "b"], "left_anti"))
-        if failed.isEmpty():
-            break
-        rejected = checkpoint(rejected.unionByName(failed.select("a", "b").distinct()))
+        found = checkpoint(_verified(docs, more.select("a", "b").distinct(), percent, k, text_col))
+        links = checkpoint(links.unionByName(found))
+        failed = more.join(found, ["a", "b"], "left_anti")
         big = big.join(failed.select("gid").distinct(), "gid", "left_semi")  # in all other groups the forest's links have settled every pair
-    labels = connected_components(links) if labels is None else labels
+    labels = connected_components(links)
     classes = classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     named = classes.join(names, "label").select("fp", "component_id")

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -345,46 +346,87 @@ def test_large_signature_groups(spark, monkeypatch):
 
 def test_forests_join_what_can_be_joined():
     rng = np.random.default_rng(1)
-    for _ in range(60):
+    for _ in range(100):
         m = int(rng.integers(1, 14))
-        apart = np.where(rng.random((m, m)) < 0.25, rng.integers(1, 9, (m, m)).astype(float), np.inf)
-        apart, label = np.minimum(apart, apart.T), rng.integers(0, 9, m)
-        edges = partenum.forest(apart, label)
-        assert all(np.isfinite(apart[i, j]) for i, j in edges)
+        i, j = np.nonzero(np.triu(rng.random((m, m)) < 0.25, 1))
+        label = rng.integers(0, 9, m)
+        apart = rng.integers(1, 9, len(i)).astype(float)
+        taken = partenum.forest(i, j, apart, label)
 
         def parts(pairs):
             group = list(range(m))
-            for i, j in pairs:
-                a, b = group[i], group[j]
+            for x, y in pairs:
+                a, b = group[x], group[y]
                 group = [b if g == a else g for g in group]  # noqa: B023
             return [[g == h for h in group] for g in group]
 
-        same = [(i, j) for i in range(m) for j in range(m) if label[i] == label[j]]
-        assert parts([*same, *edges]) == parts([*same, *np.argwhere(np.isfinite(apart)).tolist()]) and len(edges) < m
+        same = [(x, y) for x in range(m) for y in range(m) if label[x] == label[y]]
+        edges = list(zip(i.tolist(), j.tolist()))
+        assert parts([*same, *(edges[t] for t in taken)]) == parts([*same, *edges])
+        trees = len({tuple(x) for x in parts(same)}) - len({tuple(x) for x in parts([*same, *edges])})
+        assert len(taken) == trees
 
 
-def test_similar_sets_share_signatures():
-    rng = np.random.default_rng(6)
-    tried = 0
-    for n in [*range(4, 40)] * 12 + [60, 100, 250] * 40:
+def similar_pairs(rng):
+    """Pairs of sets of many sizes, at the threshold and around it."""
+    for n in [*range(4, 40)] * 12 + [60, 100, 250] * 40 + [900, 4000] * 4:
         a = rng.integers(0, 2**63, n, dtype=np.uint64)
         more = int(rng.integers(0, n // 3 + 2))
         b = np.unique(np.concatenate((a[: n - int(rng.integers(0, more + 1))], rng.integers(0, 2**63, more, dtype=np.uint64))))
         a = np.unique(a)
         o = len(np.intersect1d(a, b))
         if len(b) and 100 * o >= 80 * (len(a) + len(b) - o) and o < max(len(a), len(b)):
+            yield a, b, o
+
+
+def test_similar_sets_share_signatures(monkeypatch):
+    for levels in (partenum.LEVELS, 1):  # 1: empty parts are signed at once
+        monkeypatch.setattr(partenum, "LEVELS", levels)
+        tried = 0
+        for a, b, o in similar_pairs(np.random.default_rng(6)):
             tried += 1
             shared = np.intersect1d(partenum.signatures(a, 80), partenum.signatures(b, 80))
-            assert np.where(shared & np.uint64(1), partenum.NEEDED, 1).sum() >= partenum.NEEDED
-            assert partenum.differences(np.array([len(a), len(b)]), [partenum.parity(a), partenum.parity(b)], 80)[0, 1] <= len(a) + len(b) - 2 * o
-    assert tried > 100
+            bands, counts = np.unique(shared & np.uint64(255), return_counts=True)
+            assert any(c >= partenum.band(int(i), 80)[2] for i, c in zip(bands, counts))
+            sizes = np.array([len(a), len(b)])
+            assert partenum.differences(sizes[:1], [partenum.parity(a)], sizes[1:], [partenum.parity(b)], 80)[0, 0] <= len(a) + len(b) - 2 * o
+        assert tried > 100
+
+
+def test_common_signatures_are_left_out_safely(spark):
+    """Among many sets, each pair that shares ``needed`` signatures of a band keeps a common one."""
+    rng = random.Random(12)
+    needed = partenum.band(12, 80)[2]
+    assert needed > 1
+    sets = {f: {rng.choice([rng.randrange(8), rng.randrange(60)]) for _ in range(rng.randint(2, 25))} for f in range(60)}
+    rows = [(256 * x + 12, f) for f, s in sets.items() for x in s for _ in range(rng.randint(1, 2))]
+    left = {}
+    for r in partenum._shared(spark.createDataFrame(rows, "sig long, fp long"), 80).collect():
+        left.setdefault(r["fp"], set()).add(r["sig"])
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= needed]
+    assert pairs and all(left[a] & left[b] for a, b in pairs)
+    assert sum(map(len, left.values())) < sum(map(len, sets.values()))
+
+
+@pytest.mark.parametrize("held", [7, 40])
+def test_groups_in_pieces(spark, monkeypatch, held):
+    """Groups too large for a task's memory come in pieces; the components stay the same."""
+    monkeypatch.setattr(partenum, "HELD", held)
+    monkeypatch.setattr(partenum, "CHUNK", 16)
+    cut = [x for x in partenum._runs(iter([pa.record_batch([pa.array([1] * 50 + [2] * 3), pa.array([*range(49), 48, 1, 2, 2])], names=["sig", "fp"]), pa.record_batch([pa.array([2, 3]), pa.array([2, 9])], names=["sig", "fp"])]), held)]
+    assert [f for sig, fp, _ in cut for f in zip(sig.tolist(), fp.tolist())] == [*((1, i) for i in range(49)), (2, 1), (2, 2), (3, 9)]
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(70)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"x{i}" for w in base) + f" e{i % 9}") for i in range(140)]
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect())
+    assert out == brute_components(rows)
 
 
 def test_shingles_of_long_texts():
     rng = random.Random(1)
     text = "".join(rng.choice(["Ab ", "cd\n", "é\t", "x" * 30 + " "]) + (str(i) if i % 50 == 0 else "") for i in range(400_000)).encode()
     words = text.lower().split()
-    assert len(text) > partenum.BLOCK and len(next(partenum.shingle_sets([text], 5))) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert len(text) > 2 * partenum.BLOCK and len(next(partenum.shingle_sets([text], 5))) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
 
 
 def test_words_longer_than_blocks():
