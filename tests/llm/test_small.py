@@ -74,19 +74,47 @@ def test_prompt_is_the_longest_common_prefix(spark):
          (2, "chosen", 0, "user", None), (2, "rejected", 0, "user", ""), (3, "chosen", 0, "user", "only"), (4, "chosen", 0, "user", "a"), (4, "chosen", 1, "user", "b"), (4, "rejected", 1, "user", "b"), (None, "chosen", 0, "user", "x")],
         "pair_id long, side string, turn long, role string, text string",
     )
-    out = sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in preference.format_pairs(pairs).collect())
+    show = lambda *turns: "".join(f"<|{r}|>\n{x}\n" for r, x in turns)
+    out = sorted(map(tuple, preference.format_pairs(pairs).collect()))
+    length = lambda *turns: len(show(*turns))
+    good, bad, more, a, b = ("assistant", "good"), ("assistant", "bad"), ("user", "q2"), ("user", "a"), ("user", "b")
     assert out == [
-        (1, "chosen", 1, True), (1, "prompt", 0, False), (1, "rejected", 1, True), (1, "rejected", 2, False), (2, "prompt", 0, False),
-        (3, "chosen", 0, False), (4, "chosen", 0, False), (4, "chosen", 1, False), (4, "rejected", 1, False),
+        (1, 0, show(("user", "q")), show(good), show(bad, more), f"{length(good)}:1", f"{length(bad)}:1,{length(more)}:0"),
+        (2, 0, show(("user", "")), "", "", "", ""),
+        (3, 0, "", show(("user", "only")), "", f"{length(('user', 'only'))}:0", ""),
+        (4, 0, "", show(a, b), show(b), f"{length(a)}:0,{length(b)}:0", f"{length(b)}:0"),
     ]
-    assert {r["rendered"] for r in preference.format_pairs(pairs).where("pair_id = 1 and part = 'prompt'").collect()} == {"<|user|>\nq\n"}
+
+
+def test_turns_agree_by_all_their_rows(spark):
+    """Rows of one turn number agree if both sides have the same ones; no text is lost, and role and text don't run together."""
+    rows = [(1, "chosen", 0, "user", x) for x in "abc"] + [(1, "rejected", 0, "user", x) for x in "axc"]
+    rows += [(2, "chosen", 0, "user", x) for x in "ab"] + [(2, "rejected", 0, "user", x) for x in "bba"]
+    rows += [(3, "chosen", 0, "a\x01b", "c"), (3, "rejected", 0, "a", "b\x01c")]
+    out = {r["pair_id"]: r for r in preference.format_pairs(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")).collect()}
+    assert out[1]["prompt"] == "" and out[1]["chosen"].count("<|user|>") == out[1]["rejected"].count("<|user|>") == 3 and "x" in out[1]["rejected"]
+    assert out[2]["prompt"] == "<|user|>\na\n<|user|>\nb\n" and out[2]["chosen"] == out[2]["rejected"] == ""
+    assert out[3]["prompt"] == "" and out[3]["chosen"] != out[3]["rejected"]
+
+
+def test_long_pairs_come_in_blocks(spark):
+    rows = [(1, side, i, "assistant" if i % 2 else "user", f"{side if i > 100 else ''}{i}") for side in ("chosen", "rejected") for i in range(150)]
+    out = sorted((r["block"], r["prompt"], r["chosen"], r["rejected"], r["chosen_mask"]) for r in preference.format_pairs(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")).collect())
+    assert [r[0] for r in out] == [0, 1, 2]
+    show = lambda side: "".join(f"<|{'assistant' if i % 2 else 'user'}|>\n{side if i > 100 else ''}{i}\n" for i in range(150))
+    assert "".join(r[1] for r in out) + "".join(r[2] for r in out) == show("chosen") and "".join(r[1] for r in out) + "".join(r[3] for r in out) == show("rejected")
+    lengths = [tuple(map(int, x.split(":"))) for r in out if r[4] for x in r[4].split(",")]
+    assert sum(n for n, _ in lengths) == sum(len(r[2]) for r in out) and [m for _, m in lengths] == [i % 2 for i in range(101, 150)]
 
 
 def test_negative_replies(spark):
-    t = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (2, 0, "user", "p"), (2, 1, "assistant", "r2"), (2, 2, "user", "thanks"), (9, 0, "user", "alone"), (None, 0, "user", "x"), (1, 0, "user", "q")])
+    t = turns(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "r1"), (5, 0, "user", "p"), (5, 1, "assistant", "r2"), (5, 2, "user", "thanks"), (9, 0, "user", "alone"), (None, 0, "user", "x"), (1, 0, "user", "q")])
     rows = sorted((r["pair_id"], r["side"], r["turn"], r["text"]) for r in preference.with_negative_replies(t).collect())
-    assert rows == [(1, "chosen", 0, "q"), (1, "chosen", 0, "q"), (1, "chosen", 1, "r1"), (1, "rejected", 0, "q"), (1, "rejected", 0, "q"), (1, "rejected", 1, "r2"), (2, "chosen", 0, "p"), (2, "chosen", 1, "r2"), (2, "chosen", 2, "thanks"), (2, "rejected", 0, "p"), (2, "rejected", 1, ""), (9, "chosen", 0, "alone"), (9, "rejected", 0, "alone")]
+    assert rows == [(1, "chosen", 0, "q"), (1, "chosen", 0, "q"), (1, "chosen", 1, "r1"), (1, "rejected", 0, "q"), (1, "rejected", 0, "q"), (1, "rejected", 1, "r2"), (5, "chosen", 0, "p"), (5, "chosen", 1, "r2"), (5, "chosen", 2, "thanks"), (5, "rejected", 0, "p"), (5, "rejected", 1, "r1"), (9, "chosen", 0, "alone"), (9, "rejected", 0, "alone")]
     assert preference.format_pairs(preference.with_negative_replies(t.limit(0))).count() == 0
+    many = turns(spark, [(i * 7, 0, "assistant", f"r{i}") for i in range(60)])
+    out = preference.with_negative_replies(many, bucket_rows=9).where("side = 'rejected'").collect()
+    assert len(out) == 60 and len({r["text"] for r in out}) == 60 and sum(r["text"] == f"r{r['pair_id'] // 7}" for r in out) <= 3
 
 
 # ---- op3
