@@ -1,271 +1,312 @@
-"""LM scoring by cross-entropy difference: matched bigram models of a target and a background over one vocabulary."""
+"""LM scoring by cross-entropy difference: matched bigram models of a target and a background over one vocabulary.
+
+The vocabulary is CLASSES hash classes of words, the same for both models and at every size of input, so that what must be known of
+single words is an array of fixed size. All words and all bigrams of all texts count. A bigram's probability is
+(n(h, w) + PRIOR * p(w)) / (n(h) + PRIOR), with p(w) = (n(w) + ADD) / (n + ADD * CLASSES) and n(h) the number of words that follow h.
+
+Bigrams of both corpora and of the documents to score go through one shuffle, in blocks: a task packs the bigrams of some hundred texts into one row
+for each bucket of bigrams. A bucket's task adds up the counts of its bigrams and sends back what they cost each document.
+"""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from millrace.llm._common import checkpoint, ship, split_words
-from millrace.llm.partenum import mix
-
-#: What is broadcast to save shuffling, and changes no result: words of at least this share of the tokens of a sample, and bigrams
-#: of at least this share of all tokens counted. So at most 1 / share of each, whatever the input; all others are joined.
-HOT_WORDS, HOT_BIGRAMS = 1e-6, 4e-6
+from pyspark.sql.pandas.types import to_arrow_type
+
+from millrace.llm._common import WORD, ship, split_words
+from millrace.llm.partenum import grouped, mix
+
+#: Words of the shared vocabulary (a power of two).
+CLASSES = 1 << 20
+BITS = CLASSES.bit_length() - 1
+PRIOR, ADD = 100.0, 0.5
+#: The context of a text's first word; no word has this code.
+START = CLASSES
+#: Bigrams of at least this share of a sample are counted apart and broadcast, at most 1 / HOT of them, so that no bucket gets a row for each document.
+#: That changes no result.
+HOT = 2e-6
 #: Texts of the sample (about).
 SAMPLE = 40_000
-DISCOUNT, ADD = 0.75, 0.5
-#: Tokens that a task counts at once, and words whose code it remembers.
-CHUNK_TOKENS, WORDS = 4_000_000, 500_000
-#: Codes: 1 stands for the start of a text, from 2 on for hot words, negative ones (63-bit hashes) for all other words.
-NONE, START = 0, 1
+#: Texts and words that are packed together, bigrams to a bucket, and words whose class a worker remembers.
+TEXTS, WORDS, BUCKET, REMEMBERED = 1024, 400_000, 2_000_000, 150_000
+#: Losses are added up as whole numbers of 1 / UNIT nats, so that no order of adding changes them.
+UNIT = 1 << 20
+#: What the bigrams of a block are for.
+TARGET, BACKGROUND, SCORED = 1, 2, 4
 
 
 @dataclass
 class Models:
-    """Both corpora as (text) tables, the sorted hashes of hot words and the numbers of texts. The counts are tables made by ``bigrams``."""
+    """Both corpora as (text) tables, and what is known of their words: for target and background each, words by class, words by the class
+    before them, and the counts of the hot bigrams. All arrays are of fixed or bounded size."""
 
     target: DataFrame
     background: DataFrame
     words: np.ndarray
-    texts: tuple[int, int]
-
-
-def word_hash(word: bytes) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(word), ">i8")[0])
+    contexts: np.ndarray
+    hot: np.ndarray
+    hot_counts: np.ndarray
 
+    def word_parts(self) -> tuple[np.ndarray, np.ndarray]:
+        """PRIOR * p(w) and n(h) + PRIOR, of either model."""
+        p = (self.words + ADD) / (self.words.sum(1, keepdims=True) + ADD * CLASSES)
+        return (PRIOR * p).astype(np.float32), (self.contexts + PRIOR).astype(np.float32)
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, n): how often each word occurs in all texts, by its hash. Each task adds up what it has read before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(map(word_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["h", "n"])
+def word_class(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & CLASSES - 1
 
-        counts: dict[bytes, int] = {}
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                for w in split_words(text.as_py() or b""):
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) > 600_000:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
-
-    return docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-class TokenIds(dict):
-    """Words to codes."""
-
-    def __init__(self, words: np.ndarray):
-        self.ids = {h: i + 2 for i, h in enumerate(words.tolist())}
 
+class _Classes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
+        if len(self) >= REMEMBERED:
             self.clear()
-        h = word_hash(word)
-        i = self[word] = self.ids.get(h) or h | -(1 << 63)
-        return i
-
-
-_ids: dict[tuple, TokenIds] = {}
-
-
-def _token_ids(words: np.ndarray) -> TokenIds:
-    key = (len(words), int(words[:: max(1, len(words) // 97)].sum()))
-    if key not in _ids:
-        _ids.clear()
-        _ids[key] = TokenIds(words)
-    return _ids[key]
-
-
-def _tokens(column: pa.Array, ids: TokenIds) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words of some texts, each text after a START, and the place of each START."""
-    flat, starts = [], []
-    for text in column.cast(pa.binary()):
-        starts.append(len(flat))
-        flat.append(START)
-        flat.extend(map(ids.__getitem__, split_words(text.as_py() or b"")))
-    return np.array(flat, np.int64), np.array(starts, np.int64)
-
-
-def _added_up(h: np.ndarray, w: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The places of distinct bigrams (of each document, of which there are at most 256) and how often each occurs. The order is by a hash, but
-    bigrams themselves are compared, so two of one hash stay two."""
-    u = np.uint64
-    key = mix(h.view(u) * u(0x9E3779B97F4A7C15) ^ mix(w.view(u)))
-    if doc is not None:
-        key = key >> u(8) | doc.astype(u) << u(56)
-    order = np.argsort(key)
-    a, b = h[order], w[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    if doc is not None:
-        d = doc[order]
-        new[1:] |= d[1:] != d[:-1]
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
-
-
-def count_bigrams(docs: DataFrame, words: Broadcast, text_col: str = "text") -> DataFrame:
-    """(h, w, n): how often each code follows each other in all texts, added up in each task only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            h, w = (np.concatenate(x) for x in zip(*found))
-            at, n = _added_up(h, w)
-            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(n, pa.int64())], names=["h", "w", "n"])
-
-        ids, found, held = _token_ids(words.value), [], 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                t, _ = _tokens(batch.column(0).slice(lo, 256), ids)
-                real = t[1:] != START
-                found.append((t[:-1][real], t[1:][real]))
-                held += len(t)
-                if held > CHUNK_TOKENS:
-                    yield out()
-                    found, held = [], 0
-        if found:
-            yield out()
-
-    return docs.select(text_col).mapInArrow(run, "h long, w long, n long")
+        c = word_class(word)
+        if len(word) <= 64:
+            self[word] = c
+        return c
 
 
-def fit(target: DataFrame, background: DataFrame, text_col: str = "text") -> Models:
-    """Both models cover all words and bigrams of all texts of both tables; nothing rare is left out.
+_known = _Classes()
 
-    Unigrams are smoothed by adding ADD; bigrams are discounted by DISCOUNT and what is left goes to the unigrams. The same vocabulary
-    and smoothing hold for both, so losses compare. Here only hot words are chosen, by a sample of both tables.
-    """
-    ship(background.sparkSession)
-    sides = [d.select(F.col(text_col).alias("text")) for d in (target, background)]
-    texts = tuple(d.where("text is not null").count() for d in sides)
-    some = [d.sample(min(1.0, SAMPLE / max(n, 1)), 7) if n > SAMPLE else d for d, n in zip(sides, texts)]
-    counts = checkpoint(count_words(some[0].unionByName(some[1])))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") >= max(1.0, HOT_WORDS * total)).select("h").toPandas()
-    return Models(*sides, np.sort(hot["h"].to_numpy(np.int64)), texts)
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the cluster's shared folder, which is smaller than a checkpoint."""
-    spark: SparkSession = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-millrace'}/lm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bigrams(docs: DataFrame, models: Models, words: Broadcast) -> DataFrame:
-    """(h, w, t, b): all distinct bigrams of both corpora and of ``docs``, with their counts in target and background."""
-    sides = [(models.target, 1, 0), (models.background, 0, 1)]
-    if not docs.sameSemantics(models.background):
-        sides.append((docs, 0, 0))
-    rows = None
-    for d, t, b in sides:
-        more = count_bigrams(d, words).select("h", "w", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
-        rows = more if rows is None else rows.unionByName(more)
-    return rows.groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of at most TEXTS texts (the first column) at once, and not many more than WORDS words: the rows, the words of each text, and of all words that
+    are not in one text's end the text's number and the key of the bigram: the class before, shifted, and the class."""
+    rows, codes, starts = [], [], []
 
-def word_statistics(pairs: DataFrame, texts: tuple[int, int]) -> DataFrame:
-    """(code, seen_t, seen_b, left_t, left_b, uni_t, uni_b): of each word its count as a context (at least 1), what the discounted bigrams after
-    it leave to the unigrams, and its unigram probability, in both models."""
-    zero, over = F.lit(0).cast("long"), lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
-    sums = _stored(
-        pairs.select(F.col("h").alias("code"), over("t").alias("g_t"), over("b").alias("g_b"), zero.alias("n_t"), zero.alias("n_b"))
-        .unionByName(pairs.select(F.col("w").alias("code"), F.lit(0.0).alias("g_t"), F.lit(0.0).alias("g_b"), F.col("t").alias("n_t"), F.col("b").alias("n_b")))
-        .groupBy("code").agg(*(F.sum(c).alias(c) for c in ("g_t", "g_b", "n_t", "n_b")))
-    )
-    size, *totals = sums.agg(F.count_if(F.col("n_t") + F.col("n_b") > 0), F.sum("n_t"), F.sum("n_b")).first()
-    out = [F.col("code")]
-    for m, total, n in zip("tb", totals, texts):
-        seen = F.greatest(F.when(F.col("code") == START, F.lit(n)).otherwise(F.col(f"n_{m}")), F.lit(1))
-        out += [seen.alias(f"seen_{m}"), F.least(F.greatest(1 - F.col(f"g_{m}") / seen, F.lit(1e-6)), F.lit(1.0)).alias(f"left_{m}")]
-        out.append(((F.col(f"n_{m}") + ADD) / F.lit((total or 0) + ADD * (size + 2))).alias(f"uni_{m}"))
-    return sums.select(*out)
+    def out():
+        t, at = np.array(codes, np.int64), np.array(starts, np.int64)
+        n = np.diff(np.append(at, len(t))) - 1
+        real = t[1:] != START
+        return rows, n, np.repeat(np.arange(len(at)), n), (t[:-1][real] << BITS) | t[1:][real]
 
+    for batch in batches:
+        from_ = 0
+        for i, text in enumerate(batch.column(0).cast(pa.binary())):
+            starts.append(len(codes))
+            codes.append(START)
+            codes.extend(map(_known.__getitem__, split_words(text.as_py() or b"")))
+            if len(starts) == TEXTS or len(codes) > WORDS:
+                rows.append(batch.slice(from_, i + 1 - from_))
+                yield out()
+                rows, codes, starts, from_ = [], [], [], i + 1
+        if from_ < batch.num_rows:
+            rows.append(batch.slice(from_))
+    if starts:
+        yield out()
 
-def _join_words(rows: DataFrame, side: str, words: DataFrame) -> DataFrame:
-    """Hot words, which have few codes and many rows, are broadcast; all others are joined by a shuffle."""
-    hot = rows.where(F.col(side) >= 0).join(F.broadcast(words.where(F.col(side) >= 0)), side)
-    return hot.unionByName(rows.where(F.col(side) < 0).join(words.where(F.col(side) < 0).hint("merge"), side))
 
+def _hot_bigrams(texts: DataFrame) -> np.ndarray:
+    """Sorted keys of the bigrams that hold at least HOT of all in ``texts``. What is rare in a task's share isn't reported."""
 
-def pair_losses(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(h, w, loss_t, loss_b): the loss of each bigram under both models, in nats."""
-    before = words.select(F.col("code").alias("h"), "seen_t", "seen_b", "left_t", "left_b")
-    after = words.select(F.col("code").alias("w"), "uni_t", "uni_b")
+    def run(batches):
+        for _, _, _, keys in _chunks(batches):
+            found, n = np.unique(keys, return_counts=True)
+            often = n >= max(2, HOT * len(keys) / 4)
+            yield pa.RecordBatch.from_arrays([pa.array([0, *found[often]], pa.int64()), pa.array([len(keys), *n[often]], pa.int64())], names=["key", "n"])
 
-    def parts(m: str) -> list[Column]:
-        return [(F.greatest(F.col(m) - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"seen_{m}")).alias(f"part_{m}"), F.col(f"left_{m}")]
+    counts = texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = counts.where("key = 0").first()
+    hot = counts.where((F.col("key") > 0) & (F.col("n") >= HOT * total["n"])).select("key").toPandas() if total else None
+    return np.sort(hot["key"].to_numpy(np.int64)) if hot is not None else np.empty(0, np.int64)
 
-    rows = _join_words(pairs, "h", before).select("h", "w", *parts("t"), *parts("b"))
-    loss = lambda m: (-F.log(F.col(f"part_{m}") + F.col(f"left_{m}") * F.col(f"uni_{m}"))).alias(f"loss_{m}")
-    return _join_words(rows, "w", after).select("h", "w", loss("t"), loss("b"))
+
+def fit(target: DataFrame, background: DataFrame, text_col: str = "text") -> Models:
+    """Counts all words of both tables by class, and the hot bigrams that a sample of both names. Other bigrams are counted in ``score``."""
+    spark = background.sparkSession
+    ship(spark)
+    sides = [d.select(F.col(text_col).alias("text")) for d in (target, background)]
+    some = [d.sample(min(1.0, SAMPLE / max(n, 1)), 7) if n > SAMPLE else d for d, n in ((d, d.count()) for d in sides)]
+    hot = _hot_bigrams(some[0].unionByName(some[1]))
+    sent = spark.sparkContext.broadcast(hot)
+
+    def run(batches):
+        hot = sent.value
+        words, contexts, hits = np.zeros(CLASSES, np.int64), np.zeros(CLASSES + 1, np.int64), np.zeros(len(hot), np.int64)
+        for _, _, _, keys in _chunks(batches):
+            words += np.bincount(keys & CLASSES - 1, minlength=CLASSES)
+            contexts += np.bincount(keys >> BITS, minlength=CLASSES + 1)
+            at, hit = _find(hot, keys)
+            hits += np.bincount(at[hit], minlength=len(hot))
+        codes = np.flatnonzero(np.append(words, 0) + contexts)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (codes, np.append(words, 0)[codes], contexts[codes])], names=["code", "n", "c"])
+        found = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found + CLASSES + 1, hits[found], np.zeros(len(found)))], names=["code", "n", "c"])
+
+    counted = [d.mapInArrow(run, "code long, n long, c long").withColumn("side", F.lit(m)) for m, d in enumerate(sides)]
+    rows = counted[0].unionByName(counted[1]).groupBy("side", "code").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toPandas()
+    side, code = rows["side"].to_numpy(), rows["code"].to_numpy(np.int64)
+    n, c = np.zeros((2, CLASSES + 1 + len(hot)), np.int64), np.zeros((2, CLASSES + 1), np.int64)
+    n[side, code] = rows["n"]
+    word = code <= CLASSES
+    c[side[word], code[word]] = rows["c"][word]
+    return Models(*sides, n[:, :CLASSES], c, hot, n[:, CLASSES + 1 :])
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _losses(keys: np.ndarray, counts: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The cost of bigrams that occur ``counts`` times in target and background, in units, for both models."""
+    w, h = parts[0][:, keys & CLASSES - 1], parts[1][:, keys >> BITS]
+    return np.rint(-np.log((counts + w.astype(np.float64)) / h) * UNIT).astype(np.int64)
+
+
+def pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of whole numbers with their widths in bytes, all first bytes before all second ones, which compresses well."""
+    return b"".join(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for x, width in columns)
+
+
+def unpack(data: bytes, *widths: int) -> list[np.ndarray]:
+    """The columns that ``pack`` made (of numbers that aren't negative, or 8 bytes wide)."""
+    planes = np.frombuffer(data, np.uint8).reshape(sum(widths), -1)
+    out, at = [], 0
+    for width in widths:
+        x = np.zeros((planes.shape[1], 8), np.uint8)
+        x[:, :width] = planes[at : at + width].T
+        out.append(x.view("<i8").ravel())
+        at += width
+    return out
+
+
+#: Widths of a block's columns (key, text, times) and of a reply's (text, target loss, background loss).
+BLOCK, REPLY = (6, 2, 4), (2, 8, 8)
+
+
+def _blocks(docs: DataFrame, role: int, first: int, sent, buckets: int, id_type: str) -> DataFrame:
+    """Rows of (bucket, origin, role, data) with the bigrams of some texts, and one row for the texts themselves, which has no data. ``first``
+    keeps the origins of several tables apart."""
+
+    def run(batches):
+        hot, hot_losses = sent.value[:2]
+        task = first + (TaskContext.get().partitionId() << 28)
+        for number, (rows, n_words, text, keys) in enumerate(_chunks(batches)):
+            at, hit = _find(hot, keys)
+            if role & SCORED:
+                ids = pa.concat_arrays([r.column(1) for r in rows])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+                sums = [np.bincount(text[hit], hot_losses[m, at[hit]], len(ids)).astype(np.int64) for m in (0, 1)]
+                lists += [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(x, pa.int64())) for x in (n_words, *sums)]
+                yield pa.RecordBatch.from_arrays([pa.array([number % buckets]), pa.array([task + number]), pa.array([role], pa.int32()), pa.nulls(1, pa.binary()), *lists], names=names)
+            keys, text = keys[~hit], text[~hit] * bool(role & SCORED)
+            order = np.argsort(bucketed := keys | _bucket(keys, buckets) << 2 * BITS + 1, kind="stable")
+            bucketed, text = bucketed[order], text[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (bucketed[1:] != bucketed[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            times, bucketed, text = np.diff(np.append(at, len(order))), bucketed[at], text[at]
+            bucket = bucketed >> 2 * BITS + 1
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.empty(0, np.int64)
+            keys = bucketed & (1 << 2 * BITS + 1) - 1
+            data = [pack((keys[a:b], 6), (text[a:b], 2), (times[a:b], 4)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
+            if data:
+                none = [pa.nulls(len(data), x) for x in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(np.full(len(data), task + number)), pa.array(np.full(len(data), role, np.int32)), pa.array(data, pa.binary()), *none], names=names)
+
+    names = ["bucket", "origin", "role", "data", "ids", "n", "t", "b"]
+    kinds = [pa.list_(to_arrow_type(docs.schema["id"].dataType)), *[pa.list_(pa.int64())] * 3]
+    return docs.select("text", "id").mapInArrow(run, f"bucket long, origin long, role int, data binary, ids array<{id_type}>, n array<long>, t array<long>, b array<long>")
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _replies(t: pa.Table, parts) -> tuple[list[int], list[bytes]]:
+    """Of one bucket's blocks: what the bigrams of each scored block cost its texts."""
+    roles, origins = t.column("role").to_numpy(), t.column("origin").to_numpy()
+    columns = [unpack(x.as_py(), *BLOCK) for x in t.column("data")]
+    block = np.repeat(np.arange(len(columns)), [len(c[0]) for c in columns])
+    keys, text, times = (np.concatenate(x) for x in zip(*columns))
+    order = np.argsort(keys, kind="stable")
+    in_order = keys[order]
+    new = np.concatenate(([True], in_order[1:] != in_order[:-1]))
+    starts = np.flatnonzero(new)
+    counts = np.stack([np.add.reduceat(times[order] * (roles[block[order]] & m > 0), starts) for m in (TARGET, BACKGROUND)])
+    costs = _losses(in_order[starts], counts, parts)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    scored = np.flatnonzero(roles[block] & SCORED)
+    if not len(scored):
+        return [], []
+    place = block[scored] << 16 | text[scored]
+    order = np.argsort(place, kind="stable")
+    scored, place = scored[order], place[order]
+    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    sums = [np.add.reduceat(times[scored] * costs[m, which[scored]], starts) for m in (0, 1)]
+    place = place[starts]
+    cuts = np.flatnonzero(np.concatenate(([True], place[1:] >> 16 != place[:-1] >> 16))).tolist()
+    data = [pack((place[a:b] & 65535, 2), (sums[0][a:b], 8), (sums[1][a:b], 8)) for a, b in zip(cuts, [*cuts[1:], len(place)])]
+    return origins[place[cuts] >> 16].tolist(), data
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document: mean losses by token, in nats, and their difference;
     a low score means a text that is more like the target than the background is. Null, empty and blank texts have no tokens and null
-    losses. Repeated rows are scored each; other columns don't pass. Words in neither corpus have the probability of an unseen one.
+    losses. Repeated rows are scored each; other columns don't pass; no documents give no rows, and empty corpora give uniform models.
 
-    Losses of hot bigrams are broadcast and added up in the tasks. All others are joined: tasks count them by document, and each
-    document's losses are added up after the join."""
+    The documents may be the background itself or any other table. Hot bigrams cost what was counted in ``fit``, at once; all others are shuffled
+    twice, packed: to their bucket, of about BUCKET bigrams, and what they cost back to their texts."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(models.words)
-    size = len(models.words) + 2
-    pairs = _stored(bigrams(docs.select(F.col(text_col).alias("text")), models, sent))
-    words = word_statistics(pairs, models.texts)
-    total = pairs.agg(F.sum(F.col("t") + F.col("b"))).first()[0] or 0
-    often = pairs.where((F.col("h") >= 0) & (F.col("w") >= 0) & (F.col("t") + F.col("b") >= max(1.0, HOT_BIGRAMS * total)))
-    hot = pair_losses(often, words.where("code >= 0")).toPandas()
-    keys = hot["h"].to_numpy(np.int64) * size + hot["w"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[order], hot[["loss_t", "loss_b"]].to_numpy(np.float64)[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (keys, known) = _token_ids(sent.value), table.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                t, starts = _tokens(part.column(2), ids)
-                n_tokens = np.diff(np.append(starts, len(t))) - 1
-                doc = np.repeat(np.arange(len(starts)), n_tokens)
-                real = t[1:] != START
-                h, w = t[:-1][real], t[1:][real]
-                sums = np.zeros((2, len(starts)))
-                if len(keys):
-                    key = np.where((h >= 0) & (w >= 0), h * size + w, -1)
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[at] == key
-                    for m in (0, 1):
-                        sums[m] = np.bincount(doc[hit], known[at[hit], m], len(starts))
-                    h, w, doc = h[~hit], w[~hit], doc[~hit]
-                at, n = _added_up(h, w, doc)
-                uid = part.column(0).to_numpy()
-                none = pa.nulls(len(at), pa.float64())
-                # one row of the document itself, of a key that no bigram has, and its bigrams
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.full(len(uid), NONE)), pa.array(uid), pa.array(n_tokens), pa.array(sums[0]), pa.array(sums[1]), part.column(1)], names=names)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[doc[at]]), pa.array(h[at]), pa.array(w[at]), pa.array(n, pa.int64()), none, none, pa.nulls(len(at), part.column(1).type)], names=names)
-
-    names = ["uid", "h", "w", "n", "t", "b", "id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"uid long, h long, w long, n long, t double, b double, id {dict(docs.dtypes)[id_col]}")
-    rows = rows.join(pair_losses(pairs, words).hint("merge"), ["h", "w"], "left")
-    own = F.col("h") == NONE
-    loss = lambda m: F.sum(F.when(own, F.col(m)).otherwise(F.col("n") * F.col(f"loss_{m}"))).alias(m)
-    found = rows.groupBy("uid").agg(F.max(F.when(own, F.col("n"))).alias("n_tokens"), loss("t"), loss("b"), F.max("id").alias(id_col))
+    id_type = dict(docs.dtypes)[id_col]
+    own = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    tokens = int(models.words.sum())
+    corpora = [(models.target, TARGET)]
+    if docs.select(F.col(text_col).alias("text")).sameSemantics(models.background):
+        corpora.append((own, BACKGROUND | SCORED))
+    else:
+        tokens += own.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+        corpora += [(models.background, BACKGROUND), (own, SCORED)]
+    parts = models.word_parts()
+    sent = spark.sparkContext.broadcast((models.hot, _losses(models.hot, models.hot_counts, parts), parts))
+    buckets = 1 + tokens // BUCKET
+    rows = None
+    for k, (d, role) in enumerate(corpora):
+        d = d if "id" in d.columns else d.select("text", F.lit(None).cast(id_type).alias("id"))
+        more = _blocks(d, role, k << 60, sent, buckets, id_type)
+        rows = more if rows is None else rows.unionByName(more)
+
+    def meet(batches):
+        for _, t in grouped(batches):
+            whole = t.column("data").is_null()
+            if pc.any(whole).as_py():
+                yield from t.filter(whole).select(names).to_batches()
+            t = t.filter(pc.invert(whole))
+            if t.num_rows:
+                origins, data = _replies(t, sent.value[2])
+                none = [pa.nulls(len(data), t.column(c).type) for c in names[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(origins, pa.int64()), pa.array(data, pa.binary()), *none], names=names)
+
+    def gather(batches):
+        for _, t in grouped(batches):
+            at = int(np.flatnonzero(t.column("data").is_null().to_numpy())[0])
+            ids, n, *sums = (t.column(c)[at].values for c in names[2:])
+            sums = np.array([x.to_numpy() for x in sums])
+            for x in t.column("data").drop_null():
+                text, *more = unpack(x.as_py(), *REPLY)
+                sums[:, text] += more
+            yield pa.RecordBatch.from_arrays([ids, n, *(pa.array(x / UNIT) for x in sums)], names=[id_col, "n_tokens", "t", "b"])
+
+    names = ["origin", "data", "ids", "n", "t", "b"]
+    lists = f"ids array<{id_type}>, n array<long>, t array<long>, b array<long>"
+    met = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"origin long, data binary, {lists}")
+    found = met.repartition("origin").sortWithinPartitions("origin").mapInArrow(gather, f"`{id_col}` {id_type}, n_tokens long, t double, b double")
     mean = lambda m: F.when(F.col("n_tokens") > 0, F.col(m) / F.col("n_tokens"))
     found = found.select(id_col, "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -133,66 +133,55 @@ def test_sites_shrink_to_their_parents(spark, docs, none):
 # ---- op4
 
 
-def test_losses_against_plain_counts(spark, docs, none):
-    target = spark.createDataFrame([("a b a b c",), (None,), ("",)], "text string")
-    ground = spark.createDataFrame([("a c c b a",), ("d d",)], "text string")
-    out = by_id(lm_scoring.score(spark.createDataFrame([(1, "a b x"), (2, None), (3, " ")], "doc_id long, text string"), lm_scoring.fit(target, ground)))
-    words = ["a", "b", "c", "d"]
-    loss = []
-    for corpus in (["a b a b c", ""], ["a c c b a", "d d"]):
-        uni, bi, start = {}, {}, len(corpus)
-        for text in corpus:
-            before = "<s>"
-            for w in text.split():
-                uni[w] = uni.get(w, 0) + 1
-                bi[before, w] = bi.get((before, w), 0) + 1
-                before = w
-        total, size = sum(uni.values()), len(words) + 2
-        p1 = lambda w: (uni.get(w, 0) + lm_scoring.ADD) / (total + lm_scoring.ADD * size)  # noqa: B023, E731
-        context = lambda w: max(start if w == "<s>" else uni.get(w, 0), 1)  # noqa: B023, E731
-
-        def p(h, w):
-            seen = sum(max(n - lm_scoring.DISCOUNT, 0) for (a, _), n in bi.items() if a == h) / context(h)  # noqa: B023
-            return max(bi.get((h, w), 0) - lm_scoring.DISCOUNT, 0) / context(h) + (1 - seen) * p1(w)  # noqa: B023
-
-        loss.append(-sum(np.log(p(h, w)) for h, w in (("<s>", "a"), ("a", "b"), ("b", "<other>"))) / 3)
-    assert out[0]["target_loss"] == pytest.approx(loss[0]) and out[0]["background_loss"] == pytest.approx(loss[1]) and out[0]["score"] == pytest.approx(loss[0] - loss[1])
-    assert [(r["n_tokens"], r["score"]) for r in out[1:]] == [(0, None), (0, None)]
+def plain_losses(corpus, words):
+    """The mean loss of some words by a model that is counted with plain dictionaries."""
+    code = lambda text: [lm_scoring.word_class(w.encode()) for w in text]
+    corpus, words = [code(t) for t in corpus], code(words)
+    uni, bi, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in corpus:
+        uni.update(t)
+        bi.update(zip([None, *t], t))
+        before.update([None, *t][: len(t)])
+    p = lambda w: (uni[w] + lm_scoring.ADD) / (sum(uni.values()) + lm_scoring.ADD * lm_scoring.CLASSES)
+    return -sum(np.log((bi[h, w] + lm_scoring.PRIOR * p(w)) / (before[h] + lm_scoring.PRIOR)) for h, w in zip([None, *words], words)) / len(words)
+
+
+@pytest.mark.parametrize("hot, bucket", [(2e-6, 2_000_000), (2.0, 5), (0.05, 3)])
+def test_losses_equal_plain_counts(spark, docs, none, monkeypatch, hot, bucket):
+    """With and without hot bigrams, in one bucket and in many, over the background itself and over other documents."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET", bucket)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "b", "c", f"r{rng.randrange(400)}"]) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(150)] + [None, "", " ", "once only", "a b " * 300, "once only"]
+    ground = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    goal = ["a b r1 r2 c", "a b a b c", None]
+    target = spark.createDataFrame([(t,) for t in goal], "text string")
+    other = spark.createDataFrame([("x", "a b unseen c r3"), ("y", None), ("x", "once only")], "doc_id string, text string")
+    split = lambda rows: [(t or "").split() for t in rows]
+    models = lm_scoring.fit(target, ground)
+    for df, want in ((ground, texts), (other, ["a b unseen c r3", None, "once only"])):
+        out = lm_scoring.score(df, models).collect()
+        assert len(out) == len(want)
+        expected = []
+        for r in df.collect():
+            w = (r["text"] or "").split()
+            expected.append((str(r["doc_id"]), len(w), *((plain_losses(split(goal), w), plain_losses(split(texts), w)) if w else (-1, -1))))
+        found = [(str(r["doc_id"]), r["n_tokens"], *((r["target_loss"], r["background_loss"]) if r["n_tokens"] else (-1, -1))) for r in out]
+        for x, y in zip(sorted(found), sorted(expected)):
+            assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-5)
+        assert all(r["score"] is None if not r["n_tokens"] else r["score"] == r["target_loss"] - r["background_loss"] for r in out)
+
+
+def test_models_of_awkward_tables(docs, none):
     models = lm_scoring.fit(none, docs)
     assert lm_scoring.score(docs, models).count() == docs.count() and lm_scoring.score(none, models).count() == 0
-    assert lm_scoring.score(docs, lm_scoring.fit(none, none)).count() == docs.count()
-
-
-@pytest.mark.parametrize("hot", [True, False])
-def test_rare_words_and_bigrams_stay_in_the_models(spark, monkeypatch, hot):
-    """A corpus of so many tokens that a share of them leaves words and bigrams out; and the same with nothing broadcast at all."""
-    if not hot:
-        monkeypatch.setattr(lm_scoring, "HOT_WORDS", 2.0)
-        monkeypatch.setattr(lm_scoring, "HOT_BIGRAMS", 2.0)
-    ground = spark.createDataFrame([("x y " * 700_000 + "once only",), ("x rare y",), (None,)], "text string")
-    target = spark.createDataFrame([("x y rare",)], "text string")
-    texts = ["once only", "only once", "x rare y", "x y x y", "unseen words", "", None, "x rare y"]
-    docs = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = by_id(lm_scoring.score(docs, lm_scoring.fit(target, ground)))
-
-    def loss(corpus, text):
-        uni, bi = collections.Counter(w for t in corpus for w in t), collections.Counter((h, w) for t in corpus for h, w in zip(["<s>", *t], t))
-        after = collections.Counter()
-        for (h, _), n in bi.items():
-            after[h] += max(n - lm_scoring.DISCOUNT, 0)
-        total, out = sum(uni.values()) + lm_scoring.ADD * (5 + 2), 0  # x, y, once, only, rare
-        for h, w in zip(["<s>", *text], text):
-            seen = max(len(corpus) if h == "<s>" else uni[h], 1)
-            out -= np.log(max(bi[h, w] - lm_scoring.DISCOUNT, 0) / seen + max(1 - after[h] / seen, 1e-6) * (uni[w] + lm_scoring.ADD) / total)
-        return out / len(text)
-
-    big, small = [["x", "y"] * 700_000 + ["once", "only"], ["x", "rare", "y"]], [["x", "y", "rare"]]
-    assert len(out) == len(texts)
-    for r in out:
-        words = (texts[7 if r["doc_id"] is None else r["doc_id"]] or "").split()
-        assert r["n_tokens"] == len(words)
-        want = (loss(small, words), loss(big, words)) if words else (None, None)
-        assert (r["target_loss"], r["background_loss"]) == (pytest.approx(want[0]), pytest.approx(want[1])) if words else r["score"] is None
+    out = lm_scoring.score(docs, lm_scoring.fit(none, none)).collect()
+    assert len(out) == docs.count() and {round(r["target_loss"], 4) for r in out if r["n_tokens"]} == {round(float(np.log(lm_scoring.CLASSES)), 4)}
+
+
+def test_packed_columns():
+    x, y, z = np.array([0, 1, (1 << 41) - 1]), np.array([0, 65535, 7]), np.array([-5, 2**62, 0])
+    assert all(map(np.array_equal, lm_scoring.unpack(lm_scoring.pack((x, 6), (y, 2), (z, 8)), 6, 2, 8), (x, y, z)))
 
 
 # ---- op5
