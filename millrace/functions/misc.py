@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac as _hmac
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,11 +33,19 @@ def hash_(algorithm: str, s: Column) -> Column:
 
 
 def hmac(algorithm: str, s: Column, key: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or k is None else _hmac.new(k.encode(), t.encode(), algorithm).hexdigest() for t, k in zip(texts, keys)], dtype="object")
-
-    return run(s, key)
+    """The keyed digest in hexadecimal: the digest of the key's outer pad and the digest of its inner pad and the text (RFC 2104). Plain column
+    expressions over the digests that Spark has."""
+    size = 128 if algorithm in ("sha384", "sha512") else 64
+    raw = F.encode(key, "UTF-8")
+    long_key = F.length(F.hex(raw)) > 2 * size
+    hexed = F.rpad(F.when(long_key, F.upper(hash_(algorithm, raw))).otherwise(F.hex(raw)), 2 * size, "0")
+
+    def pad(with_: int) -> Column:
+        byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(with_))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+    inner = hash_(algorithm, F.concat(pad(0x36), F.encode(s, "UTF-8")))
+    return hash_(algorithm, F.concat(pad(0x5C), F.unhex(inner)))
 
 
 def pbkdf2(algorithm: str, s: Column, salt: Column, rounds: int, size: int) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,32 +37,22 @@ def lower(s: Column) -> Column:
 
 def mixed(s: Column, words: str | None = None) -> Column:
     """Every word with a capital first letter; ``'`` and ``-`` don't end a word. A list of words (``"LLC,Mc*"``) gives the spelling
-    of those, and ``Mc*`` a capital after that beginning where at least two letters follow."""
+    of those, and ``Mc*`` a capital after that beginning where at least two letters follow. Of several entries that fit the first
+    counts, whole words before beginnings. Plain column expressions."""
     listed = [w for w in (words or "").split(",") if w]
-    whole = {w.lower(): w for w in listed if "*" not in w}
-    heads = [w[: w.index("*")] for w in listed if "*" in w]
 
-    def spell(word: str) -> str:
-        run = re.match("[A-Za-z]*", word)[0]
-        if run.lower() in whole:
-            return whole[run.lower()] + _lower(word[len(run) :])
-        for head in heads:
-            if run.lower().startswith(head.lower()) and len(run) > len(head) + 1:
-                return head + spell(word[len(head) :])
-        return _lower(word).replace(word[:1].translate(_DOWN), word[:1].translate(_UP), 1) if word else word
+    def spell(word: Column, deep: bool) -> Column:
+        run = lower(F.regexp_extract(word, "^[A-Za-z]*", 0))
+        out = F.when(F.lit(False), word)
+        for w in (w for w in listed if "*" not in w):
+            out = out.when(run == w.lower(), F.concat(F.lit(w), lower(F.substring(word, len(w) + 1, 1 << 30))))
+        for head in (w[: w.index("*")] for w in listed if "*" in w):
+            rest = F.substring(word, len(head) + 1, 1 << 30)
+            out = out.when(F.startswith(run, F.lit(head.lower())) & (F.length(run) > len(head) + 1), F.concat(F.lit(head), spell(rest, False) if deep else lower(rest)))
+        return out.otherwise(F.concat(upper(F.substring(word, 1, 1)), lower(F.substring(word, 2, 1 << 30))))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else re.sub(r"[A-Za-z][A-Za-z'\-]*", lambda m: spell(m[0]), t))
-
-    return run(s)
-
-
-_UP, _DOWN = str.maketrans(LETTERS[1], LETTERS[0]), str.maketrans(*LETTERS)
-
-
-def _lower(s: str) -> str:
-    return s.translate(_DOWN)
+    pieces = F.regexp_extract_all(s, F.lit("[A-Za-z][A-Za-z'\\-]*|[^A-Za-z]+"), 0)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[A-Za-z]"), spell(p, True)).otherwise(p)), "")
 
 
 def char_length(s: Column) -> Column:
@@ -236,37 +225,39 @@ def lev_compare(a: Column, b: Column, width: int = 0) -> Column:
     return F.when((la == 0) | (lb == 0), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.5))).otherwise(1 - share)
 
 
-#: Bins that pairs of characters are hashed to.
-PAIR_BINS = 251
+#: Fixed values of the likeness: bins that pairs of bytes are hashed to, what stands before and after a string, what is added to digits' codes, and
+#: the modulus of the weights.
+PAIR_BINS, EDGE, DIGITS_UP, WEIGHTS = 251, 96, 75, 13
+#: Bytes that are skipped: ASCII white space and punctuation.
+SKIPPED = [b for b in range(128) if 9 <= b <= 13 or 32 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126]
 
 
-def cos_compare(a: Column, b: Column) -> Column:
-    """Likeness from 0 to 1: the cosine of two weighted counts of neighbouring characters. Punctuation and white space are skipped
-    and case doesn't count; equal strings give 1."""
-
-    @F.pandas_udf("double")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _cosine(x, y) for x, y in zip(left, right)], dtype="float64")
+def _pairs(s: Column) -> Column:
+    """(bin, weight) of each pair of neighbouring bytes, those of either end with EDGE."""
+    hexed = F.hex(F.encode(lower(s), "UTF-8"))
+    places = F.when(F.length(hexed) > 0, F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    bytes_ = F.transform(places, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    codes = F.transform(F.filter(bytes_, lambda b: ~b.isin(SKIPPED)), lambda b: F.when(b.between(48, 57), b + DIGITS_UP).otherwise(b))
+    edge = F.array(F.lit(EDGE))
 
-    return run(a, b)
+    def pair(p: Column) -> Column:
+        x, y = p["x"].cast("double"), p["y"].cast("double")
+        value = (x * x * x + y * y * y) * ((x + 1) / (y + 1))
+        bin_ = F.pmod(F.floor(value + 0.5) - 1, F.lit(PAIR_BINS))
+        return F.struct(bin_.alias("bin"), (F.pmod(p["x"] + p["y"], F.lit(WEIGHTS)) + 1).cast("long").alias("weight"))
 
+    return F.transform(F.arrays_zip(F.concat(edge, codes).alias("x"), F.concat(codes, edge).alias("y")), pair)
 
-def _pair_counts(s: str) -> dict[int, int]:
-    codes = [c + 75 if 48 <= c <= 57 else c for c in (ord(c.lower()) for c in s if c.isascii() and c.isalnum())]
-    out: dict[int, int] = {}
-    for x, y in zip([96, *codes], [*codes, 96]):
-        value = (x**3 + y**3) * ((x + 1) / (y + 1))
-        index = (int(value + 0.5) - 1) % PAIR_BINS
-        out[index] = out.get(index, 0) + (x + y) % 13 + 1
-    return out
 
-
-def _cosine(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    x, y = _pair_counts(a), _pair_counts(b)
-    norm = lambda v: sum(n * n for n in v.values()) ** 0.5
-    return sum(n * y.get(i, 0) for i, n in x.items()) / (norm(x) * norm(y))
+def cos_compare(a: Column, b: Column) -> Column:
+    """Likeness from 0 to 1: the cosine of two weighted counts of neighbouring bytes. ASCII punctuation and white space are skipped
+    and case of A-Z doesn't count; equal strings give 1. Plain column expressions: meant for names, as its work grows with the square of a length."""
+    at = lambda pairs, bin_: F.aggregate(F.filter(pairs, lambda p: p["bin"] == bin_), F.lit(0).cast("long"), lambda n, p: n + p["weight"])
+    bins = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p["bin"]))
+    dot = lambda x, y: F.aggregate(bins(x), F.lit(0).cast("long"), lambda n, k: n + at(x, k) * at(y, k))
+    x, y = _pairs(a), _pairs(b)
+    likeness = dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    return F.when(a == b, F.lit(1.0)).when(a.isNotNull() & b.isNotNull(), likeness)
 
 
 def to_hex(s: Column) -> Column:

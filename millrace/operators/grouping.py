@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,8 +26,7 @@ def sum_text(x: Column, order: Column) -> Column:
 def avg(x: Column, kind: str = "double") -> Column:
     """Of integers the quotient cut towards zero; of money with four places, cut; of doubles the mean."""
     if kind == "integer":
-        mean = F.sum(x) / F.count(x)
-        return F.when(mean < 0, F.ceil(mean)).otherwise(F.floor(mean)).cast("long")
+        return F.call_function("div", F.sum(x), F.count(x))
     if kind == "money":
         mean = F.sum(x.cast("decimal(14,4)")).cast("decimal(30,4)") * 10000 / F.count(x)
         return (F.when(mean < 0, F.ceil(mean)).otherwise(F.floor(mean)).cast("decimal(30,0)") / 10000).cast("decimal(14,4)")
@@ -48,6 +48,14 @@ def nth(x: Column, n: int, order: Column) -> Column:
     return F.get(values, F.lit(n - 1))["v"]
 
 
+def nth_by_key(df: DataFrame, keys: Sequence[str], x: Column, n: int, order: Column, name: str) -> DataFrame:
+    """The same as a table (keys, name) for groups of any size: each task keeps the n first rows of a key before the shuffle. Keys of fewer values
+    are missing."""
+    values = df.select(*keys, x.alias(name), order.alias("__o")).where(F.col(name).isNotNull())
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__o"))
+    return values.withColumn("__n", place).where(F.col("__n") <= n).where(F.col("__n") == n).select(*keys, name)
+
+
 def group(df: DataFrame, keys: Sequence[Column], aggregates: Sequence[Column] = (), last_row: Sequence[str] = (), order: Column | None = None, having: Column | None = None, one_row: bool = False) -> DataFrame:
     """GROUP BY. ``last_row`` columns take their value from the group's last row by ``order`` (which should be unique).
 

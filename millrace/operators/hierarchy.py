@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import checkpoint
+
 
 def subtree(nodes: DataFrame, root: Column, id_col: str = "id", parent_col: str = "parent", name_col: str = "name", where: Column | None = None, inclusive: bool = False, pruned: bool = False, max_depth: int = 64) -> DataFrame:
     """All nodes below the roots, with their path, parent's path, parent's name and depth (from 1; the root itself has 0).
@@ -23,6 +25,7 @@ def subtree(nodes: DataFrame, root: Column, id_col: str = "id", parent_col: str
         above = level.where(~picked) if pruned and (depth > 1 or inclusive) else level
         above = above.select(F.col(id_col).alias("__id"), F.col("__path").alias("__pp"), F.col(name_col).cast("string").alias("__pn"))
         level = nodes.join(above, F.col(parent_col) == F.col("__id")).select(*columns, F.concat("__pp", F.lit("/"), F.col(name_col).cast("string")).alias("__path"), F.col("__pp").alias("__parentpath"), F.col("__pn").alias("__parentname"), F.lit(depth).alias("__depth"))
+        level = checkpoint(level)  # else each level would run all joins above it again
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators import windows
+
 
 def running(df: DataFrame, order: Sequence[Column], aggregates: dict[str, tuple[str, Column, Column | None]], by: Sequence[Column] = ()) -> DataFrame:
     """Running aggregates: name to (sum, count, avg, min or max; value; condition or none). ``by`` restarts them and deals the work."""
@@ -22,11 +24,17 @@ def nested(outer: DataFrame, inner: DataFrame, on: Column, keep_outer: bool = Tr
 
 
 def parallel(left: DataFrame, right: DataFrame, left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:
-    """Rows of two queries side by side, n-th with n-th; the shorter one is filled with nulls. Ranks are taken over
-    whole queries: it is meant for what a report prints."""
-    a = left.withColumn("row_no", F.row_number().over(W.orderBy(*left_order)))
-    b = right.withColumn("row_no", F.row_number().over(W.orderBy(*right_order)))
-    return a.join(b, "row_no", "full")
+    """Rows of two queries side by side, n-th with n-th; the shorter one is filled with nulls. Both are numbered by sorted ranges and joined by number."""
+    return windows.number(left, left_order, "row_no").join(windows.number(right, right_order, "row_no"), "row_no", "full")
+
+
+def multinested(levels: Sequence[tuple[DataFrame, Column | None]]) -> DataFrame:
+    """Any number of queries, each nested in the one before: (rows, condition over the columns so far); the first has none. Rows without
+    inner ones stay."""
+    out = levels[0][0]
+    for inner, on in levels[1:]:
+        out = nested(out, inner, on)
+    return out
 
 
 def chart_series(df: DataFrame, x: str, legend: str, value: Column, series: Sequence | None = None) -> DataFrame:

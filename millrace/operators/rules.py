@@ -42,8 +42,8 @@ def request_filter(df: DataFrame, parameters: dict[str, str]) -> DataFrame:
 
 def obfuscate(df: DataFrame, key: str, rules: dict[str, str], table: str = "", words: list[str] | None = None) -> DataFrame:
     """Mask columns: the same value always gives the same mask, of the same type. ``rules`` gives each column's inputs to the hash by letters:
-    K key, A column name, N table name, V value. Digits stay digits of as many places, dates move within a year, other text
-    becomes words (of ``words``) or letters of its own length. Nulls stay null. Plain column expressions.
+    K key, A column name, N table name, V value. Whole numbers stay as long as they are, other numbers lie
+    anywhere between -10,000 and 10,000 in hundredths, dates move within a year, digits stay digits, other text becomes words (of ``words``) or letters of its own length. Nulls stay null. Plain column expressions.
     """
     kinds = dict(df.dtypes)
 
@@ -55,9 +55,9 @@ def obfuscate(df: DataFrame, key: str, rules: dict[str, str], table: str = "", w
         number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
         if kind in ("int", "bigint", "smallint"):
             size = F.pow(F.lit(10.0), F.length(F.abs(c).cast("string"))).cast("long")
-            return (F.signum(c) * (F.pmod(number, size))).cast(kind)
+            return (F.when(c < 0, -1).otherwise(1) * F.pmod(number, size)).cast(kind)
         if kind == "double" or kind.startswith("decimal"):
-            return (c.cast("double") * (F.lit(0.5) + F.pmod(number, F.lit(1000)) / 1000)).cast(kind)
+            return ((F.pmod(number, F.lit(2_000_001)) - 1_000_000) / 100).cast(kind)
         if kind.startswith("timestamp") or kind == "date":
             return F.timestamp_add("DAY", F.pmod(number, F.lit(365)).cast("int") - 182, c).cast(kind)
         letters_only = F.translate(F.substring(F.repeat(digest, F.ceil(F.length(c) / 40).cast("int") + 1), F.lit(1), F.length(c)), "0123456789", "ghijklmnop")

@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import dml
+from millrace.sources import files, structure, text, trees
+
+
+#: Readers by type.
+READERS: dict[str, Callable[..., DataFrame]] = {
+    "text/csv": text.read_delimited, "text/plain": text.read_fixed_width, "application/json": trees.read_json, "application/xml": trees.read_xml, "message/rfc822": files.read_mail,
+    "application/mbox": lambda spark, path: files.read_mail(spark, path, mbox=True), "system/structure": structure.read_structure, "system/directory": files.list_files,
+    "application/parquet": lambda spark, path: spark.read.parquet(path),
+}
 
 
 @dataclass(frozen=True)
@@ -33,6 +42,12 @@ class Catalog:
     def source(self, path: str, reader: Callable[[], DataFrame]) -> None:
         self._sources[path] = reader
 
+    def source_of_type(self, path: str, mime: str, folder: str, **options) -> None:
+        """A source that is read by its type, whatever the file's name is: one of READERS."""
+        if mime not in READERS:
+            raise KeyError(f"no reader for {mime}; one of {', '.join(sorted(READERS))}")
+        self._sources[path] = lambda: READERS[mime](self.spark, folder, **options)
+
     def link(self, path: str, to: str) -> None:
         self._sources[path] = lambda: self.open(to)
 

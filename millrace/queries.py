@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
 from millrace import types
 from millrace.operators import dml, grouping, hierarchy, joins, ordering, pivot, reports, rules, setops, windows
+from millrace.storage import new_path
 from millrace.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,9 +165,53 @@ def join_lateral(t):
     return joins.lateral_explode(t.documents.select("doc_id", "text"), F.split(C("text"), "\n"), "line").select("doc_id", "line")
 
 
+@query("""SELECT n_name, s_name FROM (SELECT * FROM nation WHERE n_regionkey = 1) n RIGHT JOIN supplier ON s_nationkey = n_nationkey""")
+def join_right_outer(t):
+    edge = joins.Edge(("n", "s"), C("s.s_nationkey") == C("n.n_nationkey"), "n")
+    return joins.join_graph({"n": t.nation, "s": t.supplier}, [edge], {"n": C("n_regionkey") == 1}).select("n_name", "s_name")
+
+
+@query("""SELECT a.event_id, count(b.event_id) AS n FROM (SELECT * FROM events WHERE event_id % 50 = 0) a LEFT JOIN (SELECT * FROM events WHERE event_id % 50 = 1) b ON a.value = b.value GROUP BY a.event_id""")
+def join_null_keys(t):
+    """Null keys meet nothing, on either side."""
+    edge = joins.Edge(("a", "b"), C("a.value") == C("b.value"), "b")
+    out = joins.join_graph({"a": t.events, "b": t.events}, [edge], {"a": C("event_id") % 50 == 0, "b": C("event_id") % 50 == 1})
+    return out.groupBy(C("a.event_id").alias("event_id")).agg(F.count("b.event_id").alias("n"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) THEN 1 ELSE 0 END AS hit FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)""")
+def in_subquery(t):
+    kept = t.customer.where(setops.in_query(C("c_nationkey"), t.nation.where("n_regionkey < 3"), "n_nationkey"))
+    return kept.select("c_custkey", fn.as_int(setops.in_query(C("c_nationkey"), t.supplier.where("s_acctbal > 0"), "s_nationkey")).alias("hit"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber - 1 AS page, l_partkey FROM lineitem WHERE l_linenumber <> 4) SELECT l_orderkey AS o_orderkey, page, l_partkey FROM p JOIN orders ON o_orderkey = l_orderkey WHERE page = (SELECT count(DISTINCT page) FROM p q WHERE q.l_orderkey = p.l_orderkey AND q.page < p.page)""")
+def join_lateral_pages(t):
+    """Pages of each order up to the first one that is missing."""
+    pages = t.lineitem.where("l_linenumber <> 4").select("l_orderkey", (C("l_linenumber") - 1).alias("page"), "l_partkey")
+    return joins.lateral_pages(t.orders.select("o_orderkey"), pages, C("o_orderkey") == C("l_orderkey")).select("o_orderkey", "page", "l_partkey")
+
+
+@query("""SELECT r_name, n_name, s_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey""")
+def report_multinested(t):
+    levels = [(t.region, None), (t.nation, C("n_regionkey") == C("r_regionkey")), (t.supplier, C("s_nationkey") == C("n_nationkey"))]
+    return reports.multinested(levels).select("r_name", "n_name", "s_name")
+
+
 # ---- grouping
 
 
+@query("""SELECT value, count(*) AS n FROM (SELECT round(value / 10) AS value FROM events) GROUP BY value""")
+def group_null_key(t):
+    return grouping.group(t.events.select(F.rint(C("value") / 10).alias("value")), ["value"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(o_totalprice) FILTER (o_totalprice > 100000) IS NOT NULL AS has_large FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")
+def group_sets(t):
+    aggregates = [F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.sum(F.when(C("o_totalprice") > 100000, C("o_totalprice"))).isNotNull().alias("has_large")]
+    return t.orders.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(*aggregates)
+
+
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, max(l_shipdate) AS latest, min(l_extendedprice) AS least FROM lineitem GROUP BY ALL""")
 def group_aggregates(t):
     return grouping.group(t.lineitem, ["l_returnflag", "l_linestatus"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"), F.round(F.avg("l_discount"), 6).alias("d"), F.max("l_shipdate").alias("latest"), F.min("l_extendedprice").alias("least")])
@@ -189,7 +235,8 @@ def group_distinct(t):
 @query("""SELECT user_id, arg_min(value, event_id) FILTER (value IS NOT NULL) AS first_value, arg_max(value, event_id) FILTER (value IS NOT NULL) AS last_value, list(value ORDER BY event_id) FILTER (value IS NOT NULL)[3] AS third FROM events GROUP BY user_id""")
 def agg_first_last_nth(t):
     k = C("event_id")
-    return grouping.group(t.events, ["user_id"], [grouping.first(C("value"), k).alias("first_value"), grouping.last(C("value"), k).alias("last_value"), grouping.nth(C("value"), 3, k).alias("third")])
+    ends = grouping.group(t.events, ["user_id"], [grouping.first(C("value"), k).alias("first_value"), grouping.last(C("value"), k).alias("last_value")])
+    return ends.join(grouping.nth_by_key(t.events, ["user_id"], C("value"), 3, k, "third"), "user_id", "left")
 
 
 @query("""SELECT n_regionkey, string_agg(n_name || ',', '' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey""")
@@ -242,6 +289,29 @@ def win_row_number_sorted(t):
     return windows.row_number_sorted(t.orders, [C("o_custkey")], [C("o_orderkey")], "rn").select("o_orderkey", "rn")
 
 
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders""")
+def win_row_number_all(t):
+    return windows.row_number(t.orders, [C("o_totalprice"), C("o_orderkey")], name="place").select("o_orderkey", "place")
+
+
+@query("""SELECT o_orderkey, sum(new) OVER (ORDER BY o_orderkey)::BIGINT AS run, 1 AS alone FROM (SELECT *, CASE WHEN o_orderstatus IS NOT DISTINCT FROM lag(o_orderstatus) OVER (ORDER BY o_orderkey) AND row_number() OVER (ORDER BY o_orderkey) > 1 THEN 0 ELSE 1 END AS new FROM orders)""")
+def win_dense_rank_all(t):
+    ranked = windows.dense_rank(t.orders, [C("o_orderkey")], [C("o_orderstatus")], "run")
+    return windows.dense_rank(ranked, [C("o_orderkey")], name="alone").select("o_orderkey", "run", "alone")
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS r, ntile(4) OVER w AS quarter, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS least FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)""")
+def win_extensions(t):
+    w = W.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+    return t.orders.select("o_orderkey", F.rank().over(w).alias("r"), F.ntile(4).over(w).alias("quarter"), F.lead("o_orderkey").over(w).alias("after"), F.first("o_orderkey").over(w).alias("least"))
+
+
+@query("""SELECT * FROM (SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 60) WHERE twice > 50000 ORDER BY o_orderkey LIMIT 10 OFFSET 5""")
+def order_of_steps(t):
+    rows = ordering.order_by(t.orders, "o_orderkey")
+    return ordering.select_rows(rows, C("o_orderstatus") == "F", ["o_orderkey", (C("o_totalprice") * 2).alias("twice")], C("twice") > 50000, 60, 5, 10)
+
+
 RUNS = """SELECT event_id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run, event_type, user_id
 FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
 
@@ -322,13 +392,20 @@ def string_similarity(t):
     return pairs.select(a.alias("a"), b.alias("b"), fn.levenshtein(a, b).alias("d"), fn.lev_compare(a, b).alias("likeness"))
 
 
-@query()
+@query("""WITH h AS (SELECT n_name, n_regionkey, hex(encode(lower(n_name))) AS x FROM nation),
+c AS (SELECT *, list_transform(list_filter(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS INTEGER)), lambda b: NOT (b BETWEEN 9 AND 13 OR b BETWEEN 32 AND 47 OR b BETWEEN 58 AND 64 OR b BETWEEN 91 AND 96 OR b BETWEEN 123 AND 126)), lambda b: CASE WHEN b BETWEEN 48 AND 57 THEN b + 75 ELSE b END) AS c FROM h),
+p AS (SELECT n_name, n_regionkey, unnest(list_concat([96], c))::DOUBLE AS x, unnest(list_concat(c, [96]))::DOUBLE AS y FROM c),
+v AS (SELECT n_name, n_regionkey, (CAST(floor((x * x * x + y * y * y) * ((x + 1) / (y + 1)) + 0.5) AS BIGINT) - 1) % 251 AS bin, sum((x + y) % 13 + 1) AS w FROM p GROUP BY ALL),
+n AS (SELECT n_name, sqrt(sum(w * w)) AS size FROM v GROUP BY n_name)
+SELECT a.n_name AS a, b.n_name AS b, round(CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE coalesce((SELECT sum(u.w * w.w) FROM v u JOIN v w ON u.bin = w.bin WHERE u.n_name = a.n_name AND w.n_name = b.n_name), 0) / (x.size * y.size) END, 9) AS likeness
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN n x ON x.n_name = a.n_name JOIN n y ON y.n_name = b.n_name""")
 def string_cosine(t):
-    pairs = t.nation.alias("a").join(t.nation.alias("b"), C("a.n_regionkey") == C("b.n_regionkey"))
-    return pairs.select(C("a.n_name").alias("a"), C("b.n_name").alias("b"), fn.cos_compare(C("a.n_name"), C("b.n_name")).alias("likeness"))
+    pairs = t.nation.alias("l").join(t.nation.alias("r"), C("l.n_regionkey") == C("r.n_regionkey"))
+    return pairs.select(C("l.n_name").alias("a"), C("r.n_name").alias("b"), F.round(fn.cos_compare(C("l.n_name"), C("r.n_name")), 9).alias("likeness"))
 
 
-@query()
+@query("""SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(concat_ws(' ', c_name, c_mktsegment), '[A-Za-z][A-Za-z''-]*|[^A-Za-z]+'), lambda p: CASE WHEN NOT regexp_matches(p, '^[A-Za-z]') THEN p
+WHEN lower(regexp_extract(p, '^[A-Za-z]*')) = 'building' THEN 'BUILDING' || lower(substr(p, 9)) WHEN starts_with(lower(p), 'mac') AND length(regexp_extract(p, '^[A-Za-z]*')) > 4 THEN 'Mac' || upper(substr(p, 4, 1)) || lower(substr(p, 5)) ELSE upper(left(p, 1)) || lower(substr(p, 2)) END), '') AS spelt FROM customer""")
 def string_mixed(t):
     return t.customer.select("c_custkey", fn.mixed(F.concat_ws(" ", "c_name", "c_mktsegment"), "BUILDING,Mac*").alias("spelt"))
 
@@ -339,7 +416,19 @@ def string_substitute(t):
     return t.customer.where("c_mktsegment is not null and c_acctbal <> 0").select("c_custkey", fn.substitute(template, {"c:name": C("c_name"), "c:segment": C("c_mktsegment")}).alias("letter"))
 
 
-@query()
+def _below_thousand(v: str) -> str:
+    ones, tens = f"{fn.strings.ONES}", f"{fn.strings.TENS}"
+    small = f"CASE WHEN {v} % 100 < 20 THEN {ones}[{v} % 100 + 1] WHEN {v} % 10 = 0 THEN {tens}[{v} % 100 // 10 + 1] ELSE {tens}[{v} % 100 // 10 + 1] || '-' || {ones}[{v} % 10 + 1] END"
+    return f"concat_ws(' ', CASE WHEN {v} >= 100 THEN {ones}[{v} // 100 + 1] || ' Hundred' END, CASE WHEN {v} % 100 > 0 THEN {small} END)"
+
+
+def _in_words(n: str) -> str:
+    groups = [f"CASE WHEN {n} // {1000**k} % 1000 > 0 THEN {_below_thousand(f'({n} // {1000**k} % 1000)')} || '{' ' + word if word else ''}' END" for k, word in ((2, "Million"), (1, "Thousand"), (0, ""))]
+    return f"CASE WHEN {n} = 0 THEN 'Zero' ELSE concat_ws(' ', {', '.join(groups)}) END"
+
+
+@query(f"""SELECT o_orderkey, {_in_words("o_orderkey")} AS in_words, {_in_words("whole")} || ' and ' || lpad(CAST(hundredths % 100 AS VARCHAR), 2, '0') || '/100' AS price
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, CAST(floor(CAST(o_totalprice AS DECIMAL(14,4)) * 100) AS BIGINT) AS hundredths FROM orders)""")
 def number_wordify(t):
     return t.orders.select("o_orderkey", fn.wordify(C("o_orderkey")).alias("in_words"), fn.wordify(types.money(C("o_totalprice")), "money").alias("price"))
 
@@ -395,9 +484,63 @@ def hashes(t):
     return t.documents.select("doc_id", fn.hash_("md5", C("text")).alias("m"), fn.hash_("sha1", C("text")).alias("s1"), fn.hash_("sha256", C("text")).alias("s256"))
 
 
-@query()
+def _pad(x: int) -> str:
+    return f"unhex(array_to_string(list_transform(range(0, 64), lambda i: printf('%02X', xor(CAST('0x' || substr(k, 2 * i + 1, 2) AS INTEGER), {x}))), ''))"
+
+
+@query(f"""SELECT c_custkey, sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(c_name)))) AS mac FROM (SELECT c_custkey, c_name, rpad(hex(encode(c_mktsegment)), 128, '0') AS k FROM customer)""")
 def keyed_hashes(t):
-    return t.customer.select("c_custkey", fn.hmac("sha256", C("c_name"), C("c_mktsegment")).alias("mac"), fn.pbkdf2("sha256", C("c_name"), F.lit("salt"), 10, 16).alias("derived"))
+    return t.customer.select("c_custkey", fn.hmac("sha256", C("c_name"), C("c_mktsegment")).alias("mac"))
+
+
+@query("""SELECT * FROM (VALUES (1, '120fb6cffcf8b32c43e7225256c4f837a86548c92ccc35480805987cb70be17b'), (2, 'ae4d0c95af6b46d32d0adff928f06dd02a303f8ef3c251dfd6e2d85a95474c43'), (4096, 'c5e478d59288c841aa530db6845c4c8d962893a001ce4e11a4963873aa98134a')) AS t(rounds, derived)""")
+def derived_keys(t):
+    """Published test vectors of this derivation with SHA-256, password ``password`` and salt ``salt``."""
+    one = lambda n: t.spark.range(1).select(F.lit(n).alias("rounds"), fn.pbkdf2("sha256", F.lit("password"), F.lit("salt"), n, 32).alias("derived"))
+    return one(1).unionByName(one(2)).unionByName(one(4096))
+
+
+@query("""SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS short, CAST(date_trunc('minute', o_orderdate) AS TIMESTAMP) AS dashes, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS named, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS spelt, CAST(date_trunc('minute', o_orderdate) - INTERVAL 6 HOUR AS TIMESTAMP) AS east, CAST(date_trunc('minute', o_orderdate) + INTERVAL 90 MINUTE AS TIMESTAMP) AS west, CAST(NULL AS TIMESTAMP) AS junk FROM orders""")
+def convert_datetime(t):
+    text = lambda pattern: types.convert("datetime", F.date_format("o_orderdate", pattern))
+    return t.orders.select("o_orderkey", text("M/d/yy").alias("short"), text("M-d-yyyy h:mma").alias("dashes"), text("d MMM yyyy HH:mm:ss").alias("named"), text("MMMM d, yyyy").alias("spelt"), text("yyyy-MM-dd HH:mm '+0600'").alias("east"), text("yyyy-MM-dd HH:mm'-01:30'").alias("west"), types.convert("datetime", C("o_orderpriority")).alias("junk"))
+
+
+@query("""SELECT o_orderkey, 1 + day(o_orderdate) - 1 || CASE WHEN day(o_orderdate) IN (1, 21, 31) THEN 'st' WHEN day(o_orderdate) IN (2, 22) THEN 'nd' WHEN day(o_orderdate) IN (3, 23) THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %B %y') AS ordinal, strftime(o_orderdate, '%Y-%-m-%-d %I:%M%p') AS half_day, strftime(o_orderdate, '%I%p %M:%S') AS hour_first, strftime(o_orderdate, '%m/%d/%Y %H:%M:%S') AS numbers FROM orders""")
+def date_patterns(t):
+    show = lambda pattern: fn.dateformat(C("o_orderdate"), pattern)
+    return t.orders.select("o_orderkey", show("ddd MMMM yy").alias("ordinal"), show("yyyy-M-d hh:mm").alias("half_day"), show("hh mm:ss").alias("hour_first"), show("MM/dd/yyyy HH:mm:ss").alias("numbers"))
+
+
+@query("""SELECT c_custkey, CASE WHEN m = 0 THEN '-0-' WHEN m < 0 THEN '-$' || n ELSE '$' || n END AS zero, CASE WHEN m < 0 THEN ' ' || n || ' ' ELSE '(' || n || ')' END AS brackets, CASE WHEN m < 0 THEN '(' || n || ')' ELSE ' ' || n || ' ' END AS parentheses, n || CASE WHEN m < 0 THEN '-' ELSE ' ' END AS sign_last, CASE WHEN m < 0 THEN '-' ELSE '+' END || n AS sign_first, CASE WHEN m < 0 THEN '-' ELSE '' END || lpad(n, 8, ' ') AS padded, CASE WHEN m < 0 THEN '-' ELSE '' END || lpad(n, 8, '0') AS zeros, CASE WHEN m < 0 THEN '-' ELSE '' END || CAST(w AS VARCHAR) || CASE WHEN c > 0 THEN '.' || rtrim(lpad(CAST(c AS VARCHAR), 2, '0'), '0') ELSE '' END AS short
+FROM (SELECT *, CAST(w AS VARCHAR) || '.' || lpad(CAST(c AS VARCHAR), 2, '0') AS n FROM (SELECT c_custkey, c_acctbal AS m, CAST(round(abs(c_acctbal) * 100) AS BIGINT) // 100 AS w, CAST(round(abs(c_acctbal) * 100) AS BIGINT) % 100 AS c FROM customer))""")
+def money_patterns(t):
+    show = lambda pattern: fn.moneyformat(types.money(C("c_acctbal")), pattern)
+    return t.customer.select("c_custkey", show("Z$###0.00").alias("zero"), show("[###0.00]").alias("brackets"), show("(###0.00)").alias("parentheses"), show("###0.00-").alias("sign_last"), show("+###0.00").alias("sign_first"), show("****0.00").alias("padded"), show("^^^^0.00").alias("zeros"), show("0").alias("short"))
+
+
+@query("""SELECT o_custkey, CAST(trunc(sum(m) * 10000 / count(m)) AS DOUBLE) / 10000 AS money_mean, CAST(sum(k) // count(k) AS BIGINT) AS integer_mean, round(avg(o_totalprice), 6) AS mean FROM (SELECT *, CAST(o_totalprice AS DECIMAL(14,4)) AS m, o_orderkey + 9007199254740993 AS k FROM orders) GROUP BY o_custkey""")
+def avg_by_type(t):
+    rows = t.orders.withColumn("k", C("o_orderkey") + 9007199254740993)
+    return grouping.group(rows, ["o_custkey"], [grouping.avg(types.money(C("o_totalprice")), "money").cast("double").alias("money_mean"), grouping.avg(C("k"), "integer").alias("integer_mean"), F.round(grouping.avg(C("o_totalprice")), 6).alias("mean")])
+
+
+@query("""SELECT o_orderkey, CAST(m + 1.2345 AS DOUBLE) AS plus, CAST(m - 7 AS DOUBLE) AS minus, o_totalprice + 0.5 AS real_plus, -CAST(m AS DOUBLE) AS negated FROM (SELECT *, CAST(o_totalprice AS DECIMAL(14,4)) AS m FROM orders)""")
+def money_sums(t):
+    m = types.money(C("o_totalprice"))
+    return t.orders.select("o_orderkey", fn.add(m, types.money(1.2345), ("money", "money")).cast("double").alias("plus"), fn.subtract(m, F.lit(7), ("money", "integer")).cast("double").alias("minus"), fn.add(C("o_totalprice"), F.lit(0.5), ("double", "double")).alias("real_plus"), (-m).cast("double").alias("negated"))
+
+
+@query("""SELECT n_name, strlen(n_name) AS text_bytes, 4 AS integer_bytes, TRUE AS now, TRUE AS random, TRUE AS somebody, 3 * n_nationkey AS evaluated FROM nation""")
+def session_functions(t):
+    now, r = fn.getdate(), fn.rand(7)
+    return t.nation.select("n_name", fn.octet_length(C("n_name")).alias("text_bytes"), fn.octet_length(C("n_nationkey"), "integer").alias("integer_bytes"), (F.year(now) > 2000).alias("now"), ((r >= 0) & (r < 1)).alias("random"), (F.length(fn.user_name()) > 0).alias("somebody"), fn.eval_("3 * n_nationkey").alias("evaluated"))
+
+
+@query("""SELECT a.n_name AS a, b.n_name AS b, CASE WHEN greatest(length(a.n_name), length(b.n_name)) <= 20 AND (d + 15) / 20 < 1 THEN 1 - share * ((d + 15) / 20) ELSE 1 - share END AS eased FROM (SELECT *, CASE WHEN abs(length(x) - length(y)) = d THEN d / greatest(length(x), length(y)) / 2 ELSE d / greatest(length(x), length(y)) END AS share FROM (SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_name AS x, b.n_name AS y, levenshtein(a.n_name, b.n_name)::DOUBLE AS d FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)) JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j""")
+def string_similarity_by_width(t):
+    pairs = t.nation.alias("a").join(t.nation.alias("b"), C("a.n_regionkey") == C("b.n_regionkey"))
+    return pairs.select(C("a.n_name").alias("a"), C("b.n_name").alias("b"), fn.lev_compare(C("a.n_name"), C("b.n_name"), 20).alias("eased"))
 
 
 # ---- tables that change
@@ -453,6 +596,11 @@ def subtree_inclusive(t):
     return hierarchy.subtree(_tree(t), C("id") == "world", inclusive=True).select("id", "name", C("__path").alias("path"), C("__depth").alias("depth"))
 
 
+@query(TREE.replace("'/' || name AS path, 0 AS depth", "'/' || name AS path, CAST(NULL AS VARCHAR) AS up, CAST(NULL AS VARCHAR) AS above, 0 AS depth").replace("w.path || '/' || n.name, w.depth", "w.path || '/' || n.name, w.path, w.name, w.depth").replace("SELECT id, name, path, depth FROM", "SELECT id, up, above, depth FROM") + "WHERE depth > 0")
+def subtree_parents(t):
+    return hierarchy.subtree(_tree(t), C("id") == "world").select("id", C("__parentpath").alias("up"), C("__parentname").alias("above"), C("__depth").alias("depth"))
+
+
 @query(TREE + "WHERE depth = 1")
 def subtree_pruned(t):
     return hierarchy.subtree(_tree(t), C("id") == "world", where=C("__depth") >= 1, pruned=True).select("id", "name", C("__path").alias("path"), C("__depth").alias("depth"))
@@ -497,7 +645,9 @@ def request_filter(t):
     return rules.request_filter(t.part, {"p_name": "*a*", "p_size": "10"}).select("p_partkey")
 
 
-@query()
+@query("""WITH d AS (SELECT *, sha1('key|' || c_name || '|key|' || c_name) AS dn, CAST('0x' || left(sha1('key|' || c_custkey || '|key|' || c_custkey), 15) AS BIGINT) AS nk,
+  CAST('0x' || left(sha1('key|c_acctbal|customer|customer|' || c_acctbal || '|key|c_acctbal|customer|customer|' || c_acctbal), 15) AS BIGINT) AS nb FROM customer)
+SELECT translate(left(repeat(dn, 2), length(c_name)), '0123456789', 'ghijklmnop') AS c_name, nk % CAST(pow(10, length(CAST(c_custkey AS VARCHAR))) AS BIGINT) AS c_custkey, (nb % 2000001 - 1000000) / 100 AS c_acctbal, c_nationkey, c_mktsegment FROM d""")
 def obfuscated(t):
     return rules.obfuscate(t.customer, "key", {"c_name": "KV", "c_custkey": "KV", "c_acctbal": "KANTV"}, "customer")
 
@@ -528,15 +678,14 @@ def events_by_hour(t):
 
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_by_day(t):
-    """The events as a stream of files, counted by day; the sink holds a row for each day and type."""
-    import uuid
-
+    """The events as a stream of files, counted by day; each batch replaces the table of counts in the shared folder."""
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     counts = streams.windowed(stream, "ts", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    name = f"stream_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name).select(C("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    out = new_path(t.spark, "by-day")
+    save = lambda df, _: df.write.mode("overwrite").parquet(out)
+    counts.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", new_path(t.spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select(C("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 @query("""SELECT CAST(min(ts) AS TIMESTAMP) AS began, user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, s""")

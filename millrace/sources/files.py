@@ -17,18 +17,17 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
-MAIL = "path string, message int, part int, sender string, recipient string, subject string, sent string, mime string, filename string, body string"
+MAIL = "path string, message long, part int, sender string, recipient string, subject string, sent string, mime string, filename string, body string"
 
 
 def read_mail(spark: SparkSession, path: str, mbox: bool = False) -> DataFrame:
-    """Each part of each message as a row. An mbox file is cut into messages at its ``From `` lines before parsing, so one
-    row of the parser holds one message."""
+    """Each part of each message as a row. An mbox file is cut into messages at its ``From `` lines while it is read, by all tasks that read a part of
+    the file, so no row holds more than a message; ``message`` is a number that grows within a file."""
     if mbox:
-        lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        raw = lines.select("path", F.posexplode(F.filter(F.split("value", r"(?m)^From [^\n]*\n"), lambda m: F.trim(m) != "")).alias("message", "content"))
-        raw = raw.withColumn("content", F.encode("content", "UTF-8"))
+        lines = spark.read.text(path, lineSep="\nFrom ").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("message"), "value")
+        raw = lines.select("path", "message", F.encode(F.regexp_replace("value", r"^(From )?[^\n]*\n", ""), "UTF-8").alias("content"))
     else:
-        raw = spark.read.format("binaryFile").load(path).select("path", F.lit(0).alias("message"), "content")
+        raw = spark.read.format("binaryFile").load(path).select("path", F.lit(0).cast("long").alias("message"), "content")
 
     def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -50,3 +49,8 @@ def read_table(spark: SparkSession, url: str, table: str, split_by: str | None =
     if split_by and bounds:
         reader = reader.option("partitionColumn", split_by).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return reader.load()
+
+
+def write_table(df: DataFrame, url: str, table: str, mode: str = "append", parts: int = 16, **options: str) -> None:
+    """Rows into a database table over JDBC, in at most ``parts`` connections."""
+    df.coalesce(parts).write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()

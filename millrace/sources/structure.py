@@ -50,7 +50,7 @@ def attributes(text: str) -> Iterator[tuple[str, str | None, str, str | None, st
 
 
 def read_structure(spark: SparkSession, path: str) -> DataFrame:
-    """Attributes of all structure files that the path names, one file to a parser's row."""
+    """Attributes of all structure files that the path names. A file is one row of the parser: these are files of settings, of some kilobytes."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A JSON array of objects, or lines of objects, as rows; truth values become 0 and 1. Give a schema to save the pass that finds it."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """A JSON array of objects as rows, or with ``lines`` one object a line; truth values become 0 and 1. Give a schema to save the pass that finds
+    it. Only files of lines are read by several tasks; an array is one task's work, so large data should be in many files or in lines."""
+    reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     return df.select(*[F.col(f"`{c}`").cast("int").alias(c) if t == "boolean" else F.col(f"`{c}`") for c, t in df.dtypes])
 

@@ -45,6 +45,40 @@ def to_double(x: Column) -> Column:
     return F.when(x.isNotNull(), F.coalesce(number.try_cast("double"), F.lit(0.0)))
 
 
+#: Month names by their first three letters, in order.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_NAME = f"({'|'.join(MONTHS)})[a-z]*"
+#: Dates within a text: numbers with ``/`` or ``-`` between (year first if it has three digits or more, else month, day, year), day month year, month day year.
+NUMBERS, DAY_FIRST, NAME_FIRST = r"([0-9]{1,4})[/-]([0-9]{1,2})[/-]([0-9]{1,4})", rf"\b([0-9]{{1,2}})[ ,\-]+{_NAME}[ ,\-]+([0-9]{{1,4}})", rf"\b{_NAME} +([0-9]{{1,2}})[ ,]+([0-9]{{1,4}})(?![0-9:])"
+
+
+def to_datetime(x: Column) -> Column:
+    """Text with a date (``3/1/17``, ``2017-03-01``, ``1 Mar 2017``, ``March 1, 2017``) and perhaps a time (``3pm``, ``13:01``, ``1:01:59 PM``) and an offset
+    (``+0600``, ``-06:00``). Years of two digits reach ten years into the future. A time with an offset becomes the session's local
+    time. Fractions of seconds are dropped; text without a date, or with an impossible one, is null."""
+    text = F.lower(x)
+    piece = lambda pattern, group: F.regexp_extract(text, pattern, group)
+    number = lambda c: c.try_cast("int")
+    month = lambda c: F.array_position(F.array(*map(F.lit, MONTHS)), c).cast("int")
+    year_first = F.length(piece(NUMBERS, 1)) > 2
+    by_form = lambda numbers, day, name: F.when(text.rlike(NUMBERS), numbers).when(text.rlike(DAY_FIRST), day).when(text.rlike(NAME_FIRST), name)
+    year = by_form(number(F.when(year_first, piece(NUMBERS, 1)).otherwise(piece(NUMBERS, 3))), number(piece(DAY_FIRST, 3)), number(piece(NAME_FIRST, 3)))
+    month_ = by_form(number(F.when(year_first, piece(NUMBERS, 2)).otherwise(piece(NUMBERS, 1))), month(piece(DAY_FIRST, 2)), month(piece(NAME_FIRST, 1)))
+    day = by_form(number(F.when(year_first, piece(NUMBERS, 3)).otherwise(piece(NUMBERS, 2))), number(piece(DAY_FIRST, 1)), number(piece(NAME_FIRST, 2)))
+    soon = F.year(F.current_date()) - 2000 + 10
+    year = F.when(year < soon, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    rest = F.regexp_replace(text, "|".join((NUMBERS, DAY_FIRST, NAME_FIRST)), " ")
+    clock, hour_only = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?", r"([0-9]{1,2}) *[ap]m"
+    of = lambda pattern, group: number(F.regexp_extract(rest, pattern, group))
+    hour = F.coalesce(of(clock, 1), of(hour_only, 1), F.lit(0))
+    half = F.regexp_extract(rest, r"[0-9] *([ap])m", 1)
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    at = F.try_make_timestamp_ntz(year, month_, day, hour, F.coalesce(of(clock, 2), F.lit(0)), F.coalesce(of(clock, 3), F.lit(0)).cast("decimal(8,6)"))
+    offset = r"[0-9m] *([+-])([0-9]{2}):?([0-9]{2}) *$"
+    minutes = (of(offset, 2) * 60 + of(offset, 3)) * F.when(F.regexp_extract(rest, offset, 1) == "-", -1).otherwise(1)
+    return F.when(rest.rlike(offset), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.timestamp_add("MINUTE", -minutes, at))).otherwise(at)
+
+
 def convert(kind: str, x: Column, source: str = "string") -> Column:
     """The conversion ``convert('kind', x)``; ``source`` names the type of x."""
     if kind == "integer":
@@ -54,7 +88,7 @@ def convert(kind: str, x: Column, source: str = "string") -> Column:
     if kind == "money":
         return money(to_double(F.regexp_replace(x, r"^\s*(-?)\$", "$1"))) if source == "string" else money(x)
     if kind == "datetime":
-        return datetime(x.try_cast("timestamp_ntz"))
+        return to_datetime(x) if source == "string" else datetime(x)
     if kind == "string":
         return x.cast("string")
     raise ValueError(f"no type {kind!r}; one of {', '.join(NAMES)}")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace import source_queries  # noqa: F401  (registers its queries)
 from millrace.queries import ORACLE, QUERIES
 from tests.compare import of_duck, of_spark
 
