@@ -23,8 +23,8 @@ from millrace.llm.components import connected_components
 
 #: Members of a signature group of which all pairs are passed on, a fixed number; larger groups are compared in tiles.
 PAIRED = 16
-#: Sets to one side of a tile.
-CHUNK = 2048
+#: Sets to one side of a tile, and of those as many as are compared with the other side at once.
+CHUNK, STRIP = 2048, 128
 #: Partners of a set to one group of pairs that are verified together.
 PARTNERS = 512
 #: Rows of one signature that a task holds; a larger group comes in pieces.
@@ -170,6 +170,20 @@ def differences(n: np.ndarray, maps: list[bytes], other_n: np.ndarray, other_map
     return np.where(fits & (apart <= most + 0.5), apart, np.float32(np.inf))
 
 
+def close_pairs(n: np.ndarray, maps: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differences at least) of the members i of ``left`` and j of ``right`` whose labels differ and that sizes and maps don't rule out. Strips
+    of the matrix are made one by one, so that memory holds a strip and what is left."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    right_maps = [maps[j] for j in right]
+    for lo in range(0, len(left), STRIP):
+        x = left[lo : lo + STRIP]
+        apart = differences(n[x], [maps[i] for i in x], n[right], right_maps, percent)
+        apart[label[x][:, None] == label[right][None, :]] = np.inf
+        i, j = np.nonzero(np.isfinite(apart))
+        out.append((x[i], right[j], apart[i, j].astype(np.float32)))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Which of the edges (i, j) make a least spanning forest; nodes with equal labels count as joined already. In each turn every tree takes
     its nearest edge."""
@@ -563,12 +577,9 @@ def _within_big(big: DataFrame, classes: DataFrame, labels: DataFrame, percent:
             x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: asks and answers
             if not len(x) or not len(y):
                 continue
-            apart = differences(n[x], [maps[i] for i in x], n[y], [maps[i] for i in y], percent)
-            apart[label[x][:, None] == label[y][None, :]] = np.inf
-            i, j = np.nonzero(np.isfinite(apart))
-            w, i, j = apart[i, j], x[i], y[j]
+            i, j, apart = close_pairs(n, maps, label, x, y, percent)
             if few:
-                taken = forest(i, j, w, label)
+                taken = forest(i, j, apart, label)
                 i, j = i[taken], j[taken]
             if len(i):
                 a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
