@@ -10,14 +10,18 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import checkpoint as checkpoint
+
 #: A word, everywhere in this subpackage: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches of texts hold at most so many rows and bytes, where the session has Spark's defaults (10,000 rows, 64 MB): a task holds a few at once.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
-#: A small table is broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A small table is broadcast up to this many rows and bytes; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
+#: Longer labelled texts (in bytes) aren't fitted on.
+LONGEST = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,20 +50,21 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the cluster's shared folder; a folder of its own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table that is usually small: broadcast after its size is checked, else shuffled with AQE's skew handling.
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a table that is usually small: broadcast after its rows and bytes are counted, else shuffled with AQE's skew handling. Null keys
+    equal each other.
 
     ``small`` should be cheap to count (checkpointed)."""
-    rows = small.limit(limit + 1).count()
-    return big.join(F.broadcast(small) if rows <= limit else small, on, how)
+    width = F.lit(0)
+    for c in small.columns:
+        width = width + 16 + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    n, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    named = small.withColumnsRenamed({c: f"__{c}" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = big.join(F.broadcast(named) if n <= rows and total <= size else named, condition, how)
+    return out.drop(*(f"__{c}" for c in on))
 
 
 def id_hash(column: Column, salt: int = 0) -> Column:
@@ -69,9 +74,10 @@ def id_hash(column: Column, salt: int = 0) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> list[tuple[int, str, int]]:
-    """At most ``limit`` labelled documents for fitting, the same ones at each run: the smallest by a hash of the id.
+    """At most ``limit`` labelled documents for fitting, the same ones at each run: the smallest by a hash of the id, without texts of more than LONGEST
+    bytes. If an id has several texts, the least one counts.
 
-    The ids are bounded by ``limit``, so they are broadcast to a scan of the documents; texts aren't shuffled."""
+    The ids are bounded by ``limit``, so they are broadcast to a scan of the documents; at most ``limit`` texts of bounded length come to the driver."""
     chosen = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(target).alias("label"))
@@ -81,5 +87,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int)
     if not ids:
         return []
     frame = docs.sparkSession.createDataFrame([(int(k), int(v)) for k, v in ids.items()], "doc_id long, label int")
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(frame), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST)
+    found = texts.join(F.broadcast(frame), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return sorted((r["doc_id"], r["text"], r["label"]) for r in found.collect())

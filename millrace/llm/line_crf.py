@@ -159,7 +159,8 @@ def judge_lines(docs: DataFrame, weights: np.ndarray, transitions: np.ndarray, i
     base_failed, n_lines, content_share, kept, and the columns of ``carry``.
 
     A document is kept if it passes the base rules and content lines hold at least ``min_share`` of its words. Null and empty
-    texts have zeros, fail the base rules and aren't kept. Repeated rows are judged each. No shuffle; texts stream in batches.
+    texts have zeros, fail the base rules and aren't kept. Repeated rows are judged each; an empty table gives no rows. Columns of ``carry`` with a result's
+    name are left out. No shuffle; texts stream in batches.
     """
     ship(docs.sparkSession)
     carry = tuple(c for c in carry if c not in (id_col, text_col))

@@ -37,7 +37,7 @@ HOT = 2e-6
 #: Texts of the sample (about).
 SAMPLE = 40_000
 #: Texts and words that are packed together, bigrams to a bucket, and words whose class a worker remembers.
-TEXTS, WORDS, BUCKET, REMEMBERED = 1024, 400_000, 2_000_000, 150_000
+TEXTS, WORDS, BUCKET, REMEMBERED = 1024, 400_000, 1_000_000, 150_000
 #: Losses are added up as whole numbers of 1 / UNIT nats, so that no order of adding changes them.
 UNIT = 1 << 20
 #: What the bigrams of a block are for.

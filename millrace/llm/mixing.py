@@ -45,7 +45,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_epochs: int) ->
     return ranked.select("skey", "source_size", "weight", target.alias("target"), (F.pmod(F.col("rank") * 40503 + 12345, F.lit(65536)) / 65536.0).alias("offset"))
 
 
-def systematic_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+#: Columns of a mix.
+MADE = ["size", "source_size", "target", "copies", "taken"]
+
+
+def systematic_mix(docs: DataFrame, *, keep: Sequence[str] | None = None, **options) -> DataFrame:
+    """The columns ``keep`` of each document (default: all of ``docs``) and size, source_size, target, copies and taken, as ``copies_of`` finds them.
+    Columns of ``docs`` with these names are left out; ``expand`` returns them."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
+    return copies_of(docs, keep=kept, **options).select(*[F.col("row")[c].alias(c) for c in kept], *MADE)
+
+
+def copies_of(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """How many copies of each document a mix takes.
 
     Each document of a source expects target / source_size copies. Within a source the documents stand in order of
@@ -57,16 +68,16 @@ def systematic_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epoc
     up in two small windows, and row numbers within a bucket. Buckets grow in number with the rows, so a source or a size
     that holds a third of all documents is dealt over many tasks.
 
-    Returns ``keep`` (default: all columns of ``docs``) and size, source_size, target, copies, taken. A null text
+    Returns ``row`` (a struct of the columns ``keep``; default: all) and size, source_size, target, copies, taken. A null text
     has size 0; null sources are one source, last in order; repeated rows are separate documents; an empty table gives none.
-    Columns of ``docs`` with the names of results are replaced.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = docs.columns if keep is None else keep
     rows = docs.count()
     buckets = 1 + rows // cell_rows
     base = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row"), F.col(id_col).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")).alias("skey"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     base = base.withColumn("bin", size_bin(F.col("size"))).withColumn("bucket", F.floor(id_hash(F.col("key")) * buckets / F.lit(2147483648)))
+    if text_col not in kept:
+        base = checkpoint(base)  # slim rows; else each use would split the texts again
 
     cells = checkpoint(base.groupBy("skey", "bin", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     bins = cells.groupBy("skey", "bin").agg(F.sum("n").alias("bin_n"))
@@ -83,12 +94,14 @@ def systematic_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epoc
     upto = F.col("start") + F.col("place")
     copies = F.floor(F.col("offset") + upto.cast("double") * rate) - F.floor(F.col("offset") + (upto - 1).cast("double") * rate)
     copies = F.least(copies, F.lit(max_epochs)).cast("long")
-    return out.select(*[F.col("row")[c].alias(c) for c in kept], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def expand(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: every document as many times as it has copies."""
-    return mixed.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def expand(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs``, with its columns as they are, as many times as ``copies_of`` says."""
+    mixed = copies_of(docs, **options).where(F.col("copies") > 0)
+    repeated = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 #: The same in DuckDB SQL, with the parameters of op7.

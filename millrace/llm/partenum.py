@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm._common import checkpoint, join_small, ship
 from millrace.llm.components import connected_components
@@ -595,8 +596,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     Texts are lower-cased (A-Z) and cut at ASCII white space; a document's set holds its distinct k-word shingles, or its whole
     word sequence if shorter. Documents link when 100 * intersection >= percent * union; a component is named by its smallest
     doc_id. Null, empty and blank texts have no shingles and link with nothing. Equal sets are one node from the start. Ids may
-    repeat; each row gets its text's component. No link is lost: signatures cover all pairs, and every candidate is verified.
+    repeat; each row gets its text's component. No component is lost: signatures cover all pairs, and every candidate that isn't in one component
+    already is verified. Other columns of ``docs`` aren't read; an empty table gives no rows.
     """
+    return _components(docs, percent, k, id_col, text_col).drop("fp", "label")
+
+
+def _components(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``near_duplicates``, the name of the set and the least one of its component; both null if the set is empty."""
     ship(docs.sparkSession)
     slim = checkpoint(_shingle_rows(docs, k, id_col, text_col))
     classes = slim.where("fp is not null").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("map").alias("map"), F.min(id_col).alias("first"))
@@ -604,32 +611,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     big = groups.where("size > 0").select(F.col("a").alias("gid"), F.col("b").alias("fp"), "size")
     tried = _survivors(groups.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, percent)
     links = checkpoint(_verified(docs, tried, percent, k, text_col))
+    labels = connected_components(links)
     for few in (True, False):  # most groups are joined by the first forests; the second turn compares whatever is left
-        more = checkpoint(_within_big(big, classes, connected_components(links), percent, few))
+        more = checkpoint(_within_big(big, classes, labels, percent, few))
         if more.isEmpty():
             break
         found = checkpoint(_verified(docs, more.select("a", "b").distinct(), percent, k, text_col))
-        links = checkpoint(links.unionByName(found))
         failed = more.join(found, ["a", "b"], "left_anti")
         big = big.join(failed.select("gid").distinct(), "gid", "left_semi")  # in all other groups the forest's links have settled every pair
-    labels = connected_components(links)
+        if not found.isEmpty():
+            links = checkpoint(links.unionByName(found))
+            labels = connected_components(links)
     classes = classes.select("fp", "first").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     names = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = classes.join(names, "label").select("fp", "component_id")
-    return slim.join(named, "fp", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, but of each component only the document with the smallest doc_id, and of rows with one id only one.
-    Rows without id stay. Ids to leave out are usually few; only if they are many are the texts shuffled."""
-    found = checkpoint(near_duplicates(docs, id_col=id_col, **options))
-    gone = checkpoint(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct())
-    left = join_small(docs, gone, [id_col], "left_anti")
-    again = checkpoint(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    named = classes.join(names, "label").select("fp", "component_id", "label")
+    return slim.join(named, "fp", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"), "fp", "label")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, but of each component only one: that with the smallest doc_id (of several sets with that id the one of the smallest name).
+    Texts without words all stay, and so do all different sets of a component without any id.
+
+    Ids to leave out are usually few; only if they are many are the texts shuffled. Rows whose id is null or repeated are decided by their
+    sets, which are made again for them: a text that links with nothing stays whatever its id."""
+    found = checkpoint(_components(docs, percent, k, id_col, text_col).select(F.col(id_col).alias("id"), "fp", "label"))
+    heads = found.where("fp is not null and id is not null").groupBy(F.col("label").alias("l")).agg(F.min(F.struct("id", "fp")).alias("head"))
+    rows = found.join(heads, F.col("label") == F.col("l"), "left")
+    stays = F.col("head").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp")))
+    judged = checkpoint(rows.select("id", "fp", stays.alias("stays")))
+    again = checkpoint(judged.groupBy("id").count().where("count > 1 or id is null").select(F.col("id").alias(id_col)))
+    gone = checkpoint(judged.where(~F.col("stays")).select(F.col("id").alias(id_col)).distinct())
+    once = join_small(join_small(docs, again, [id_col], "left_anti"), gone, [id_col], "left_anti")
     if again.isEmpty():
-        return left
-    once = join_small(left, again, [id_col], "left_semi").dropDuplicates([id_col])
-    return join_small(left, again, [id_col], "left_anti").unionByName(once)
+        return once
+    at = docs.columns.index(text_col)
+
+    def named(batches):
+        for batch in batches:
+            sets = shingle_sets((t.as_py() for t in batch.column(at).cast(pa.binary())), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())], names=[*batch.schema.names, "__fp"])
+
+    several = join_small(docs, again, [id_col], "left_semi")
+    several = several.mapInArrow(named, T.StructType([*several.schema.fields, T.StructField("__fp", T.LongType())]))
+    kept = checkpoint(judged.where("stays and fp is not null").select(F.col("id").alias(id_col), F.col("fp").alias("__fp")).distinct())
+    chosen = join_small(several.where("__fp is not null"), kept, [id_col, "__fp"], "left_semi")
+    first = W.partitionBy(id_col, "__fp").orderBy(F.xxhash64(*docs.columns))
+    chosen = chosen.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return once.unionByName(chosen.select(*docs.columns)).unionByName(several.where("__fp is null").select(*docs.columns))
 
 
 #: The same in DuckDB SQL, for op8's parameters.

@@ -208,7 +208,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     """Encode whole texts, decode them again, and return (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]).
 
     A null text counts as empty: no tokens, and the digests of nothing. Repeated rows are encoded each. Other columns of
-    ``docs`` don't pass. Texts stream through in Arrow batches of bounded bytes; there is no shuffle.
+    ``docs`` don't pass; an empty table gives no rows. Texts stream through in Arrow batches of bounded bytes; there is no shuffle.
     """
     vocabulary = send_vocabulary(docs.sparkSession, model_file)
 

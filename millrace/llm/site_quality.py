@@ -102,7 +102,7 @@ def classify(docs: DataFrame, model, host: Column, path: Column, id_col: str = "
     left out of its site's sums. The site then replaces the global prior: logit(quality) = doc_logit + logit(path_prior) - logit(global).
     Sites are found by grouped aggregation with partial sums; the site table is joined back (broadcast only if
     small). Null hosts or paths are a site of their own; null and empty texts are scored like an empty one; repeated rows count each.
-    An empty table gives none.
+    Only id, text, host and path are read, so other columns' names don't clash. An empty table gives none.
     """
     slim = docs.select(F.col(id_col).alias(id_col), F.col(text_col), F.coalesce(F.concat(F.lit("="), host), F.lit("~")).alias("__host"), F.coalesce(F.concat(F.lit("="), path), F.lit("~")).alias("__path"))
     scored = checkpoint(score(slim, model, text_col).withColumn("p", 1 / (1 + F.exp(-F.col("doc_logit")))))
@@ -124,7 +124,10 @@ def classify(docs: DataFrame, model, host: Column, path: Column, id_col: str = "
     return out.select(id_col, F.col("p").alias("doc_prob"), "host_prior", "path_prior", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
-def drop_rejected(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id isn't rejected; the rejected ids, usually few, are the small side."""
-    gone = checkpoint(judged.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct())
-    return join_small(docs, gone, [id_col], "left_anti")
+def filter_documents(docs: DataFrame, model, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, whole. Rows are told apart by what their verdict depends on (id, text, host and path), so repeated
+    and null ids do no harm; the rejected ones, usually few, are the small side of a join."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col), host, path)
+    judged = classify(docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("__row"), F.col(text_col), host.alias("__h"), path.alias("__p")), model, F.col("__h"), F.col("__p"), "__row", text_col, threshold)
+    gone = checkpoint(judged.where(~F.col("kept")).select(F.col("__row.id").alias("__id"), F.col("__row.key").alias("__key")).distinct())
+    return join_small(docs.withColumn("__id", F.col(id_col)).withColumn("__key", key), gone, ["__id", "__key"], "left_anti").select(*docs.columns)

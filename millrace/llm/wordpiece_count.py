@@ -112,7 +112,8 @@ def count_word_pieces(docs: DataFrame, initial: list[str], continuing: list[str]
     """(doc_id, n_words, n_tokens, n_unknown) of every document's whole text.
 
     n_tokens sums the pieces of all words; a word of any length that can't be cut is one unknown token
-    and counts in n_unknown. Null and empty texts have zeros. Repeated rows are counted each. There is no shuffle.
+    and counts in n_unknown. Null and empty texts have zeros. Repeated rows are counted each; other columns don't pass; an empty table gives no
+    rows. There is no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)

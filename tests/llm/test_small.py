@@ -127,7 +127,58 @@ def test_sites_shrink_to_their_parents(spark, docs, none):
     assert site_quality.classify(none, model, F.col("source"), F.col("lang")).count() == 0
     flat = by_id(site_quality.classify(docs, None, F.col("source"), F.col("lang")))
     assert {round(r["quality"], 6) for r in flat} == {0.5}
-    assert site_quality.drop_rejected(docs, site_quality.classify(docs, None, F.col("source"), F.col("lang"))).columns == docs.columns
+    assert site_quality.filter_documents(docs, None, F.col("source"), F.col("lang")).columns == docs.columns
+
+
+def test_posteriors_equal_plain_sums(spark):
+    """Many sparse sites, null ones and repeated rows, held against sums over lists."""
+    rng = random.Random(21)
+    texts = ["A good line of plain words stands here and goes on for a while.", "BUY!! NOW!! CHEAP!! PILLS!!", "half a text", "x | y | z", None]
+    hosts = [rng.choice([None, "big", "big", f"h{rng.randrange(60)}"]) for _ in range(400)]
+    rows = [(i // 2 if i % 9 == 0 else i, texts[0] if rng.random() < (0.95, 0.05)[len(h or "") % 2] else rng.choice(texts), h, rng.choice([None, "en", "de"])) for i, h in enumerate(hosts)]
+    model = site_quality.fit_logistic(np.array([site_quality.features((t or "").encode()) for t in texts[:1] * 20 + texts[1:] * 5]), np.array([1.0] * 20 + [0.0] * 20))
+    out = site_quality.classify(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3), model, F.col("source"), F.col("lang")).collect()
+    w, mean, dev = model
+    odds = [float(np.clip((np.array(site_quality.features((t or "").encode())) - mean) / dev @ w, -site_quality.CLIP, site_quality.CLIP)) for _, t, _, _ in rows]
+    p = [1 / (1 + np.exp(-x)) for x in odds]
+    overall = min(max(sum(p) / len(p), 1e-4), 1 - 1e-4)
+
+    def totals(keys):
+        out = {}
+        for key, x in zip(keys, p):
+            n, total = out.get(key, (0, 0.0))
+            out[key] = n + 1, total + x
+        return out
+
+    def strength(sites, parent):
+        n = sum(n for n, _ in sites.values())
+        between = sum(m * (t / m - parent(k)) ** 2 for k, (m, t) in sites.items())
+        chance = sum(t / m * (1 - t / m) for m, t in sites.values())
+        unit = sum(m * parent(k) * (1 - parent(k)) for k, (m, _) in sites.items())
+        return min(max(unit / n / max((between - chance) / n, 1e-6) - 1, 1.0), 1000.0)
+
+    hosts, paths = totals([h for _, _, h, _ in rows]), totals([(h, x) for _, _, h, x in rows])
+    m_host = strength(hosts, lambda _: overall)
+    m_path = strength(paths, lambda k: (hosts[k[0]][1] + m_host * overall) / (hosts[k[0]][0] + m_host))
+    inside = lambda x: min(max(x, 1e-4), 1 - 1e-4)
+    want = []
+    for (i, _, h, x), own, odd in zip(rows, p, odds):
+        host = inside((hosts[h][1] - own + m_host * overall) / (hosts[h][0] - 1 + m_host))
+        path = inside((paths[h, x][1] - own + m_path * host) / (paths[h, x][0] - 1 + m_path))
+        quality = 1 / (1 + np.exp(-(odd + np.log(path / (1 - path)) - np.log(overall / (1 - overall)))))
+        want.append((i, own, host, path, quality))
+    for got, expected in zip(sorted((r["doc_id"], r["doc_prob"], r["host_prior"], r["path_prior"], r["quality"]) for r in out), sorted(want)):
+        assert got == pytest.approx(expected, rel=1e-9)
+    assert 1 < m_host < 1000 or 1 < m_path < 1000
+
+
+def test_rows_are_rejected_by_themselves(spark):
+    """Of one id only the bad text goes, and a bad text without id goes too."""
+    good, bad = "A good line of plain words stands here and goes on for a while. " * 5, "BUY!! NOW!! CHEAP!! PILLS!! " * 12
+    model = site_quality.fit_logistic(np.array([site_quality.features(t) for t in (good.encode(), b"A fine line.\n" * 4, bad.encode(), b"x | y | z | " * 9)]), np.array([1.0, 1, 0, 0]))
+    rows = [(1, good), (1, bad), (None, bad), (None, good), (2, good)]
+    kept = site_quality.filter_documents(spark.createDataFrame(rows, "doc_id long, text string"), model, F.lit("h"), F.lit("p"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, good), (None, good), (2, good)], key=str)
 
 
 # ---- op4
@@ -146,7 +197,7 @@ def plain_losses(corpus, words):
     return -sum(np.log((bi[h, w] + lm_scoring.PRIOR * p(w)) / (before[h] + lm_scoring.PRIOR)) for h, w in zip([None, *words], words)) / len(words)
 
 
-@pytest.mark.parametrize("hot, bucket", [(2e-6, 2_000_000), (2.0, 5), (0.05, 3)])
+@pytest.mark.parametrize("hot, bucket", [(2e-6, 1_000_000), (2.0, 5), (0.05, 3)])
 def test_losses_equal_plain_counts(spark, docs, none, monkeypatch, hot, bucket):
     """With and without hot bigrams, in one bucket and in many, over the background itself and over other documents."""
     monkeypatch.setattr(lm_scoring, "HOT", hot)
@@ -206,12 +257,44 @@ def test_neighbours_are_exact(spark):
 
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
-    a, b = rng.normal(size=(30, 1500)), rng.normal(size=(40, 1500)) * 100
-    (ac, s, an, ae), (bc, t, bn, be) = block_knn.quantise(a), block_knn.quantise(b)
-    near = np.sqrt(np.maximum(an[:, None] ** 2 + bn[None] ** 2 - 2 * block_knn.products(ac, bc) * s[:, None] * t[None], 0))
-    true = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-    assert (block_knn.products(ac, bc) == ac.astype(np.int64) @ bc.astype(np.int64).T).all()
-    assert (np.abs(near - true) <= ae[:, None] + be[None] + 1e-6 * (1 + an[:, None] + bn[None])).all()
+    for a_scale, b_scale in ((1.0, 100.0), (1e200, 1e200), (1e-200, 1.0), (1e150, 1e-150)):
+        a, b = rng.normal(size=(30, 1500)) * a_scale, rng.normal(size=(40, 1500)) * b_scale
+        b[:5] = a[:5] * (1 + 1e-9) if a_scale == b_scale else b[:5]
+        q, x = block_knn.quantise(a), block_knn.quantise(b)
+        unit = max(a_scale, b_scale)
+        true = np.sqrt(((a[:, None] / unit - b[None] / unit) ** 2).sum(2)) * unit
+        low, high = block_knn.distance_bounds(q, x)
+        assert (block_knn.products(q[0], x[0]) == q[0].astype(np.int64) @ x[0].astype(np.int64).T).all()
+        assert (low <= true).all() and (true <= high).all() and np.isfinite(low).all()
+
+
+def test_bounds_are_merged_without_loss():
+    """A stream of candidates in order of their lower bounds keeps all that may be among the nearest."""
+    rng = random.Random(5)
+    for _ in range(300):
+        true = sorted(rng.randrange(50) for _ in range(rng.randint(1, 40)))
+        rows = sorted((d - rng.randrange(4), d + rng.randrange(4), d) for d in true)
+        merge = block_knn.Merge(5)
+        kept = sorted(d for low, high, d in rows if merge.admits(low, high))
+        assert kept[:5] == true[:5]
+
+
+def test_large_components_and_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(block_knn, "TILE_CANDIDATES", 40)
+    monkeypatch.setattr(block_knn, "TILE_QUERIES", 2)
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(220, 6))
+    v[:110] *= 1e120  # squares of these are near the end of doubles
+    v[110:] *= 1e-120
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1e200] * 6), (901, [1.0e200] * 5 + [0.0])]
+    found = {}
+    for r in block_knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0, k=7).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    with np.errstate(over="ignore"):
+        for q in [*range(0, 220, 30), 900]:
+            own = dict(rows)[q]
+            want = sorted((float(np.sqrt(sum(np.float64((a - b) * (a - b)) for a, b in zip(own, x)))), i) for i, x in rows if i != q)[:7]
+            assert [(s, i) for _, i, s in sorted(found[q])] == want
 
 
 # ---- op6
@@ -287,7 +370,9 @@ def test_mix_meets_targets(spark, docs, none):
             del rest[k]
     for k, (taken, size, target, source_size) in sums.items():
         assert source_size == size and target == pytest.approx(want[k]) and abs(taken - target) <= 130
-    mixed = mixing.expand(mixing.systematic_mix(df), df.columns)
+    clash = df.withColumn("size", F.lit("own")).withColumn("target", F.lit(-1)).withColumn("taken", F.lit("t"))
+    assert {(r["size"], r["target"], r["taken"]) for r in mixing.expand(clash).collect()} == {("own", -1, "t")} and mixing.expand(clash).columns == clash.columns
+    mixed = mixing.expand(df)
     assert mixed.columns == df.columns and mixed.count() == mixing.systematic_mix(df).agg(F.sum("copies")).first()[0]
 
 
@@ -341,6 +426,11 @@ def test_components_equal_brute_force(spark, docs, none):
     found = partenum.near_duplicates(docs)
     assert found.count() == docs.count() and partenum.near_duplicates(none).count() == 0
     assert {r["doc_id"]: r["component_id"] for r in found.where("doc_id between 3 and 7").collect()} == {3: 3, 4: 4, 5: 4, 6: 4, 7: 7}
+    a, b, near = (" ".join(f"{x}{i}" for i in range(60)) for x in "aby")
+    near = a.replace("a59", "other")
+    rows = [(5, a, 1), (5, b, 2), (5, b, 3), (7, near, 4), (None, near, 5), (None, "lone words here", 6), (None, None, 7), (9, "", 8), (8, b, 9), (5, "five is alone", 10)]
+    single = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert {r["row"] for r in single} - {2, 3} == {1, 6, 7, 8, 10} and len({r["row"] for r in single} & {2, 3}) == 1
     once = partenum.keep_one(docs)
     assert sorted(r["doc_id"] for r in once.where("doc_id is not null").collect()) == [0, 1, 2, 3, 4, 7, 8, 9] and once.columns == docs.columns
 
@@ -474,8 +564,9 @@ def test_components_of_links(spark):
         if a != b:
             x, y = sorted((find(a), find(b)))
             parent[y] = x
-    out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert out == {x: find(x) for x in parent}
+    for small in (components.SMALL, 0):
+        out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(3), small=small).collect()}
+        assert out == {x: find(x) for x in parent}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -505,7 +596,11 @@ def test_url_rules_and_vocabulary(spark):
     df = spark.createDataFrame([(i, u[0], "h", "v") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in by_id(url_filter.filter_urls(df), "page_id")] == [u[1:] for u in urls]
     assert url_filter.filter_urls(df.limit(0)).count() == 0
-    assert url_filter.filter_urls(df, (), (), ()).where("verdict = 'block'").count() == 0
+    assert url_filter.filter_urls(df, (), {}).where("verdict = 'block'").count() == 0
+    weights = url_filter.read_weights(spark.createDataFrame([("Odd", 40), ("odd", 30), ("even", 60), ("", 9), ("none", 0)], "term string, weight int"))
+    assert weights == {"odd": 40, "even": 60}
+    found = by_id(url_filter.filter_urls(spark.createDataFrame([(1, "http://x/odd/odd"), (2, "http://x/odd-EVEN"), (3, "http://x/evens/odd")], "page_id long, url string"), (), weights), "page_id")
+    assert [(r["verdict"], r["n_strict"], r["n_soft"], r["weight"]) for r in found] == [("allow", 0, 1, 40), ("block", 0, 2, 100), ("allow", 0, 1, 40)]
 
 
 # ---- op10
@@ -541,6 +636,41 @@ def test_base_counts(spark, docs, none):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in judged.where("kept").collect())
 
 
+def test_fit_follows_the_likelihood(monkeypatch):
+    """The gradient is that of the likelihood, which all label sequences of small cases are summed up for."""
+    rng = np.random.default_rng(9)
+    sequences = [(rng.normal(size=(n, line_crf.N_FEATURES)), rng.integers(0, 2, n)) for n in (1, 2, 3, 5)]
+
+    def likelihood(weights, transitions):
+        out = 0.0
+        for x, y in sequences:
+            e = x @ weights
+            worth = lambda p: sum(e[i, s] for i, s in enumerate(p)) + sum(transitions[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            out += worth(y) - np.log(sum(np.exp(worth(p)) for p in itertools.product((0, 1), repeat=len(y))))
+        return out / sum(len(y) for _, y in sequences) * 4
+
+    w1, t1 = line_crf.fit(sequences, steps=1, rate=1.0, ridge=0.0)
+    w2, t2 = line_crf.fit(sequences, steps=2, rate=1.0, ridge=0.0)
+    for at, (dw, dt) in (((np.zeros_like(w1), np.zeros((2, 2))), (w1, t1)), ((w1, t1), (w2 - w1, t2 - t1))):
+        for which, gradient in ((0, dw), (1, dt)):
+            for k in np.ndindex(gradient.shape):
+                up, down = ([m.copy() for m in at] for _ in range(2))
+                up[which][k] += 1e-5
+                down[which][k] -= 1e-5
+                assert gradient[k] == pytest.approx((likelihood(*up) - likelihood(*down)) / 2e-5, abs=1e-6)
+    assert likelihood(*line_crf.fit(sequences, ridge=0.0)) > max(likelihood(w2, t2), likelihood(w1, t1))
+
+
+def test_labelled_samples_are_bounded(spark):
+    from millrace.llm._common import LONGEST, labelled_sample
+
+    rows = [(1, "b"), (1, "a"), (2, "x" * (LONGEST + 1)), (3, None), (4, "four"), (None, "n")]
+    labels = spark.createDataFrame([(i, 1 if i == 1 else 0) for i in (1, 1, 2, 3, 4, None, 99)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert labelled_sample(docs, labels, "quality", 10) == [(1, "a", 1), (4, "four", 0)]
+    assert len(labelled_sample(docs, labels, "quality", 1)) <= 1
+
+
 def test_all_lines_of_the_sample_are_fitted():
     """Late lines of long documents are in the sequences, cut into consecutive pieces of bounded length."""
     good = [f"A plain line of words number {i} ends here." for i in range(700)]
