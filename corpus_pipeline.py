@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_crf, mixing, partenum, sentencepiece_bpe, site_quality
 from millrace.llm._common import table
 from millrace.llm.queries import PIECES
+from millrace.storage import new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier and their site's posterior reject go."""
     model = site_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return site_quality.drop_rejected(docs, site_quality.classify(docs, model, F.col("source"), F.col("lang")))
+    return site_quality.filter_documents(docs, model, F.col("source"), F.col("lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.expand(mixing.systematic_mix(docs), docs.columns)
+    return mixing.expand(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +40,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("near duplicates", near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]
 
-#: The stages that fit a model can't be written in SQL; tests hold the pipeline against a brute-force version.
+#: The stages that fit a model can't be written in SQL; tests hold each stage's rows against a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-pipeline'}/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)

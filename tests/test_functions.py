@@ -106,7 +106,7 @@ def cases():
         "dateformat": (fn.dateformat(L("2024-06-02 15:04:05").cast("timestamp_ntz"), "ddd MMM yyyy, HH:mm:ss"), "2nd Jun 2024, 15:04:05"),
         "dateformat_pm": (fn.dateformat(L("2024-06-02 15:04:05").cast("timestamp_ntz"), "hh:mm"), "03:04PM"),
         "moneyformat": (fn.moneyformat(money("-1234.5"), "$#,##0.00"), "-$1,234.50"),
-        "moneyformat_brackets": (fn.moneyformat(money("-0.5"), "($0.00)"), "($0.50)"),
+        "moneyformat_brackets": (fn.moneyformat(money("-0.5"), "($0.00)"), "$(0.50)"),
         "convert_hex": (types.convert("integer", L(" 0x1F")), 31),
         "convert_octal": (types.convert("integer", L("-017")), -15),
         "convert_junk": (types.convert("integer", L("abc")), 0),
@@ -148,3 +148,31 @@ def test_substitute(spark):
     assert [r[0] for r in df.select(out).collect()] == ["Black||none|five|some", "|has x|||some"]
     with pytest.raises(ValueError):
         fn.substitute("[:nothing]", cells)
+
+
+def test_datetimes_from_text(spark):
+    texts = ["3/1/17 12:00", "3/1/2017 12:00am", "3-1-2017 3pm", "2017-03-01 20:00", "03-01-99 20:00", "03-01-99 04:00 +0600", "03-01-99 04:00-0600", "1 Mar 2017 13:01:59", "March 1, 2017 1:01 PM", "2017-03-01T20:00:01.5", "junk", "13/41/2017", None, ""]
+    want = ["2017-03-01 12:00:00", "2017-03-01 00:00:00", "2017-03-01 15:00:00", "2017-03-01 20:00:00", "1999-03-01 20:00:00", "1999-02-28 22:00:00", "1999-03-01 10:00:00", "2017-03-01 13:01:59", "2017-03-01 13:01:00", "2017-03-01 20:00:01", None, None, None, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] and str(r[0]) for r in df.select(types.convert("datetime", F.col("t"))).collect()] == want
+
+
+def test_money_patterns(spark):
+    """The whole pattern language, over zero, positive and negative amounts."""
+    amounts = [0, 12.5, -12.5, 1234567.891, 0.25]
+    want = {
+        "$#,###,##0.00": ["$0.00", "$12.50", "-$12.50", "$1,234,567.891", "$0.25"], "Z0.00": ["-0-", "12.50", "-12.50", "1234567.891", "0.25"], "B0": ["", "12.5", "-12.5", "1234567.891", "0.25"],
+        "****0.00": ["    0.00", "   12.50", "-   12.50", "1234567.891", "    0.25"], "[##0.00]": ["(0.00)", "(12.50)", " 12.50 ", "(1234567.891)", "(0.25)"], "##0.00-": ["0.00 ", "12.50 ", "12.50-", "1234567.891 ", "0.25 "],
+        "^^^0": ["0000", "0012.5", "-0012.5", "1234567.891", "0000.25"], "#": ["", "12.5", "-12.5", "1234567.891", ".25"],
+    }
+    df = spark.createDataFrame([(float(a),) for a in amounts], "a double")
+    for pattern, shown in want.items():
+        assert [r[0] for r in df.select(fn.moneyformat(types.money(F.col("a")), pattern)).collect()] == shown, pattern
+
+
+def test_keyed_digests(spark):
+    """Against Python's own, with short, long and empty keys."""
+    rows = [("Jefe", "what do ya want for nothing?"), ("k" * 200, "x"), ("", ""), ("é", "中")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    for algorithm in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        assert [r[0] for r in df.select(fn.hmac(algorithm, F.col("t"), F.col("k"))).collect()] == [hmac.new(k.encode(), t.encode(), algorithm).hexdigest() for k, t in rows]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import dml, grouping, hierarchy, joins, ordering, pivot, reports, rules, windows
+from millrace.operators import dml, grouping, hierarchy, joins, ordering, pivot, reports, rules, setops, windows
 
 C = F.col
 
@@ -137,3 +137,30 @@ def test_reports_and_rules(spark, colors):
     masked = rules.obfuscate(colors, "k", {"f_desc": "KV", "f_count": "KV"})
     a, b = masked.orderBy("f_id").collect(), rules.obfuscate(colors, "k", {"f_desc": "KV", "f_count": "KV"}).orderBy("f_id").collect()
     assert a == b and all(len(x["f_desc"]) == len(y["f_desc"]) for x, y in zip(a, colors.orderBy("f_id").collect())) and dict(masked.dtypes) == dict(colors.dtypes)
+
+
+def test_runs_and_numbers_over_whole_tables(spark, monkeypatch):
+    """Without ``by`` rows are numbered by sorted ranges and runs found over stretches of them; null keys equal each other."""
+    import random
+
+    monkeypatch.setattr(windows, "STRETCH", 64)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "o int, k int").repartition(4)
+    want, n = [], 0
+    for i, (o, k) in enumerate(rows):
+        n += i == 0 or k != rows[i - 1][1]
+        want.append((o, n))
+    assert sorted((r["o"], r["run"]) for r in windows.runs(df, [F.col("k")], [F.col("o")]).collect()) == want
+    assert sorted((r["o"], r["row_number"]) for r in windows.number(df, [F.col("o")]).collect()) == [(i, i + 1) for i in range(500)]
+    assert windows.number(df.limit(0), [F.col("o")]).count() == windows.runs(df.limit(0), [F.col("k")], [F.col("o")]).count() == 0
+
+
+def test_in_query_with_nulls(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "x int"), spark.createDataFrame([(1,), (None,)], "y int")
+    assert [r["hit"] for r in a.select(setops.in_query(F.col("x"), b, "y").alias("hit")).collect()] == [True, False, None]
+
+
+def test_nth_by_key(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("a", 4, 9), ("b", 1, 1)], "k string, o int, v int")
+    assert [tuple(r) for r in grouping.nth_by_key(df, ["k"], F.col("v"), 2, F.col("o"), "second").collect()] == [("a", 7)]

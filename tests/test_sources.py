@@ -109,3 +109,30 @@ def test_streams(spark, tmp_path):
     sess = events.sessions(data, "ts", "30 minutes", ["user_id"], [F.count(F.lit(1)).alias("n")])
     assert sess.agg(F.sum("n")).first()[0] == data.count()
     assert events.latest_by_key(data, ["user_id"], "event_id").count() == data.select("user_id").distinct().count()
+
+
+def test_database(spark):
+    """Write to and read from a database over JDBC; a scan in ranges gives the same rows."""
+    url, driver = "jdbc:derby:memory:shop;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"name {i}") for i in range(50)], "k int, name string")
+    files.write_table(rows, url, "things", parts=2, **driver)
+    files.write_table(rows.select((F.col("k") + 50).alias("k"), "name"), url, "things", **driver)
+    found = files.read_table(spark, url, "things", split_by="k", bounds=(0, 100), parts=4, **driver)
+    assert found.count() == 100 and found.rdd.getNumPartitions() == 4 and found.where("k = 70").first()[1] == "name 20"
+
+
+def test_row_ids_follow_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k\n" + "\n".join(map(str, range(3))) + "\n")
+    (tmp_path / "b.csv").write_text("k\n" + "\n".join(map(str, range(3, 2000))) + "\n")
+    (tmp_path / "c.csv").write_text("k\n2000\n")
+    out = text.read_delimited(spark, str(tmp_path / "*.csv"), [text.Field("k", "integer")], row_id="name")
+    assert sorted((r["name"], r["k"]) for r in out.collect()) == [(i + 1, i) for i in range(2001)]
+
+
+def test_readers_by_type(spark, tmp_path):
+    (tmp_path / "odd.name").write_text('{"k": 1}')
+    c = Catalog(spark)
+    c.source_of_type("/x", "application/json", str(tmp_path / "odd.name"))
+    assert c.open("/x").first()["k"] == 1
+    with pytest.raises(KeyError):
+        c.source_of_type("/y", "video/mpeg", "x")
