@@ -20,6 +20,16 @@ def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows, allowMissingColumns=True)
 
 
+def insert_through(target: DataFrame, rows: DataFrame, equals: dict[str, object]) -> DataFrame:
+    """INSERT through a query with ``WHERE column = value AND ...``: what the rows leave out or have null is set so that they meet the condition
+    (its reverse evaluation). Rows that contradict it are inserted as they are, and the query doesn't show them."""
+    kinds = dict(target.dtypes)
+    for c, v in equals.items():
+        value = (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])
+        rows = rows.withColumn(c, F.coalesce(F.col(c).cast(kinds[c]), value) if c in rows.columns else value)
+    return insert(target, rows)
+
+
 def update(target: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
     """All values are computed from the row as it was; rows where the condition is null stay."""
     hit = F.coalesce(where, F.lit(False))

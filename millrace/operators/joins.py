@@ -97,6 +97,14 @@ def lateral_explode(outer: DataFrame, array: Column, name: str, keep_empty: bool
     return outer.withColumn(name, (F.explode_outer if keep_empty else F.explode)(array))
 
 
+def lateral_path(outer: DataFrame, path: Column, sources: DataFrame, on: Column | None = None, keep_empty: bool = False, path_col: str = "__path") -> DataFrame:
+    """A source whose path is computed from each outer row. ``sources`` has the rows of all paths that may come up with their path (as a catalog's
+    ``wildcard`` returns them), so it is an equality join on the path; a path that isn't there gives no rows, or one of nulls with ``keep_empty``."""
+    named = sources.withColumnRenamed(path_col, "__lateral_path")
+    condition = path == F.col("__lateral_path")
+    return outer.join(named, condition if on is None else condition & on, "left" if keep_empty else "inner").drop("__lateral_path")
+
+
 def lateral_pages(outer: DataFrame, pages: DataFrame, on: Column, page_col: str = "page") -> DataFrame:
     """Paged sources: the pages of each outer row from 0 on, up to the first page number that is missing."""
     from pyspark.sql import Window as W

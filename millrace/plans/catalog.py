@@ -88,6 +88,10 @@ class Catalog:
         out = self.spark.sql(q.text, args=args)
         return out if criteria is None else out.where(criteria)
 
+    def object(self, path: str) -> DataFrame:
+        """The object at a path as a table of one row: the first one of its source, without rows if there is none."""
+        return self.open(path).limit(1)
+
     def value(self, path: str, attribute: str) -> Column:
         """One attribute of the first row at a path, as a constant for other queries; null if there is none."""
         row = self.open(path).select(attribute).head()

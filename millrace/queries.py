@@ -562,6 +562,14 @@ def insert_select(t):
     return dml.insert(target, t.nation.select((-C("n_nationkey") - 1).alias("k"), C("n_name").alias("name")))
 
 
+@query("""SELECT s_suppkey AS k, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT -n_nationkey - 1, n_name, CASE WHEN n_regionkey = 2 THEN 9 ELSE 7 END FROM nation""")
+def insert_through_filter(t):
+    """Inserts through a query with ``WHERE nation = 7``: rows that don't say a nation get that one."""
+    target = t.supplier.select(C("s_suppkey").alias("k"), C("s_name").alias("name"), C("s_nationkey").alias("nation"))
+    rows = t.nation.select((-C("n_nationkey") - 1).alias("k"), C("n_name").alias("name"), F.when(C("n_regionkey") == 2, 9).alias("nation"))
+    return dml.insert_through(target, rows, {"nation": 7})
+
+
 @query("""WITH src AS (SELECT o_custkey AS k, sum(o_totalprice) AS x FROM orders GROUP BY o_custkey UNION ALL SELECT 1000000 + r_regionkey, r_regionkey * 1.0::DOUBLE FROM region)
 SELECT c.c_custkey AS k, CASE WHEN s.k IS NULL THEN 0 ELSE round(s.x, 2) END AS x FROM customer c LEFT JOIN src s ON s.k = c.c_custkey UNION ALL SELECT s.k, round(s.x, 2) FROM src s WHERE s.k NOT IN (SELECT c_custkey FROM customer)""")
 def upsert_merge(t):

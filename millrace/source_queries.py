@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import types
-from millrace.operators import dml
+from millrace.operators import dml, joins
 from millrace.plans.catalog import Catalog, StoredQuery
 from millrace.queries import C, query
 from millrace.sources import files, structure, text, trees
@@ -169,6 +169,23 @@ def catalog_objects(t):
     return t.region.select("r_name", c.value("/one", "n_name").alias("named"), c.variable("seen", "n_nationkey").alias("newest"))
 
 
+@query("""SELECT n_name, n_regionkey FROM nation WHERE n_nationkey = 3""")
+def catalog_object(t):
+    c = _catalog(t)
+    c.source("/one", lambda: t.nation.where("n_nationkey = 3"))
+    return c.object("/one").select("n_name", "n_regionkey")
+
+
+@query("""SELECT n_nationkey, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey AND (n_nationkey < 12) = (c_nationkey < 12) WHERE n_nationkey % 2 = 0""")
+def catalog_computed_path(t):
+    """Each nation's customers from the source that a path made of the nation's number names."""
+    c = Catalog(t.spark)
+    c.source("/apps/east/customer", lambda: t.customer.where("c_nationkey < 12").select("c_custkey", "c_nationkey"))
+    c.source("/apps/west/customer", lambda: t.customer.where("c_nationkey >= 12").select("c_custkey", "c_nationkey"))
+    path = F.concat(F.lit("/apps/"), F.when(C("n_nationkey") < 12, "east").otherwise("west"), F.lit("/customer"))
+    return joins.lateral_path(t.nation.where("n_nationkey % 2 = 0"), path, c.wildcard("/apps/*/customer"), C("c_nationkey") == C("n_nationkey")).select("n_nationkey", "c_custkey")
+
+
 @query("""SELECT s_suppkey AS k, CASE WHEN s_acctbal < 0 THEN 'debt' WHEN s_suppkey % 3 = 0 THEN 'new name' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT -1, 'extra'""")
 def catalog_collection(t):
     """A collection of the session: declared, filled, updated, upserted and thinned out."""
