@@ -10,7 +10,7 @@ from millrace.llm._common import id_hash
 
 ASSISTANT = "assistant"
 #: Conversations (about) among which a rejected reply is looked for, and turn numbers to one row of a formatted pair.
-BUCKET_ROWS, BLOCK_TURNS = 16_384, 64
+BUCKET_ROWS, BLOCK_TURNS = 256, 64
 
 
 def render(role: Column, text: Column) -> Column:
