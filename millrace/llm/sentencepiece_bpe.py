@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm._common import ship
 
 SPACE = "▁"
-#: Distinct segments (a word with the spaces before it) and token pairs that a worker remembers; then it starts afresh.
-SEGMENTS, PAIRS, LONGEST = 500_000, 400_000, 48
+#: Distinct segments (a word with the spaces before it) and token pairs that a worker remembers; then it starts afresh. Only what comes up a second
+#: time is remembered, as far as a map of ONCE bytes tells.
+SEGMENTS, PAIRS, LONGEST, ONCE = 200_000, 100_000, 48, 1 << 20
 
 
 def read_vocabulary(model_file: str) -> list[tuple[str, float, str]]:
@@ -43,6 +44,7 @@ class PieceCodec:
         self.as_bytes = [b"" if k == "control" else bytes([int(p[1:-1], 16)]) if k == "byte" else " ⁇ ".encode() if k == "unknown" else t.encode() for (p, _, k), t in zip(vocabulary, self.text)]
         self.as_text = [str(i) for i in range(len(vocabulary))]
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs_seen = _Seen()
         self.automaton = ahocorasick.Automaton()
         #: The next shorter piece that starts like this one; only pieces that merging can make are candidates.
         self.shorter: dict[int, int] = {}
@@ -88,9 +90,11 @@ class PieceCodec:
         """Whether the two tokens stay apart when their joined text is merged again."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == [a, b]
+            found = self.merge(self.text[a] + self.text[b]) == [a, b]
+            if self.pairs_seen.again((a, b)):
+                if len(self.pairs) >= PAIRS:
+                    self.pairs.clear()
+                self.pairs[a, b] = found
         return found
 
     def encode_run(self, run: str) -> list[int]:
@@ -173,13 +177,31 @@ def _valid(raw: bytes) -> bool:
         return False
 
 
+class _Seen:
+    """Tells what has come up before, by a map of fixed size that is emptied when half full; now and then wrongly."""
+
+    def __init__(self):
+        self.marks, self.n = bytearray(ONCE), 0
+
+    def again(self, key) -> bool:
+        at = hash(key) % ONCE
+        if self.marks[at]:
+            return True
+        if self.n >= ONCE // 2:
+            self.marks, self.n = bytearray(ONCE), 0
+        self.marks[at] = 1
+        self.n += 1
+        return False
+
+
 class _Cache(dict):
     def __init__(self, codec: PieceCodec):
         self.codec = codec
+        self.seen = _Seen()
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
         ids = self.codec.encode_segment(segment)
-        if len(segment) <= LONGEST:
+        if len(segment) <= LONGEST and self.seen.again(segment):
             if len(self) >= SEGMENTS:
                 self.clear()
             self[segment] = ids
