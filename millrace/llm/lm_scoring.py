@@ -38,6 +38,8 @@ HOT = 2e-6
 SAMPLE = 40_000
 #: Texts and words that are packed together, bigrams to a bucket, and words whose class a worker remembers.
 TEXTS, WORDS, BUCKET, REMEMBERED = 1024, 400_000, 1_000_000, 150_000
+#: Counts of so many classes make a row.
+STRETCH = 4096
 #: Losses are added up as whole numbers of 1 / UNIT nats, so that no order of adding changes them.
 UNIT = 1 << 20
 #: What the bigrams of a block are for.
@@ -134,23 +136,38 @@ def fit(target: DataFrame, background: DataFrame, text_col: str = "text") -> Mod
         hot = sent.value
         words, contexts, hits = np.zeros(CLASSES, np.int64), np.zeros(CLASSES + 1, np.int64), np.zeros(len(hot), np.int64)
         for _, _, _, keys in _chunks(batches):
-            words += np.bincount(keys & CLASSES - 1, minlength=CLASSES)
-            contexts += np.bincount(keys >> BITS, minlength=CLASSES + 1)
+            np.add.at(words, keys & CLASSES - 1, 1)
+            np.add.at(contexts, keys >> BITS, 1)
             at, hit = _find(hot, keys)
-            hits += np.bincount(at[hit], minlength=len(hot))
-        codes = np.flatnonzero(np.append(words, 0) + contexts)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (codes, np.append(words, 0)[codes], contexts[codes])], names=["code", "n", "c"])
-        found = np.flatnonzero(hits)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found + CLASSES + 1, hits[found], np.zeros(len(found)))], names=["code", "n", "c"])
-
-    counted = [d.mapInArrow(run, "code long, n long, c long").withColumn("side", F.lit(m)) for m, d in enumerate(sides)]
-    rows = counted[0].unionByName(counted[1]).groupBy("side", "code").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).toPandas()
-    side, code = rows["side"].to_numpy(), rows["code"].to_numpy(np.int64)
-    n, c = np.zeros((2, CLASSES + 1 + len(hot)), np.int64), np.zeros((2, CLASSES + 1), np.int64)
-    n[side, code] = rows["n"]
-    word = code <= CLASSES
-    c[side[word], code[word]] = rows["c"][word]
-    return Models(*sides, n[:, :CLASSES], c, hot, n[:, CLASSES + 1 :])
+            np.add.at(hits, at[hit], 1)
+        n, c = np.concatenate([words, [0], hits]), np.append(contexts, np.zeros(len(hot), np.int64))
+        for stretch in range(0, len(n), STRETCH):
+            part = n[stretch : stretch + STRETCH], c[stretch : stretch + STRETCH]
+            if part[0].any() or part[1].any():
+                yield pa.RecordBatch.from_arrays([pa.array([stretch]), pa.array([pack((part[0], 8), (part[1], 8))], pa.binary())], names=["stretch", "data"])
+
+    def add_up(batches):
+        key, sums = None, None
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.stack(unpack(data.as_py(), 8, 8))
+                if k == key:
+                    sums += found
+                else:
+                    if key is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sums.tobytes()], pa.binary())], names=["key", "data"])
+                    key, sums = k, found
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sums.tobytes()], pa.binary())], names=["key", "data"])
+
+    counted = [d.mapInArrow(run, "stretch long, data binary").select((F.col("stretch") * 2 + m).alias("key"), "data") for m, d in enumerate(sides)]
+    rows = counted[0].unionByName(counted[1]).repartition("key").sortWithinPartitions("key").mapInArrow(add_up, "key long, data binary")
+    n, c = (np.zeros((2, CLASSES + 1 + len(hot)), np.int64) for _ in range(2))
+    for key, data in rows.collect():  # a row for each stretch of both tables, whatever their size
+        found = np.frombuffer(data, np.int64).reshape(2, -1)
+        at = slice(key // 2, key // 2 + found.shape[1])
+        n[key % 2, at], c[key % 2, at] = found
+    return Models(*sides, n[:, :CLASSES].copy(), c[:, : CLASSES + 1].copy(), hot, n[:, CLASSES + 1 :].copy())
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
