@@ -203,7 +203,7 @@ def report_multinested(t):
 
 @query("""SELECT value, count(*) AS n FROM (SELECT round(value / 10) AS value FROM events) GROUP BY value""")
 def group_null_key(t):
-    return grouping.group(t.events.select(F.rint(C("value") / 10).alias("value")), ["value"], [F.count(F.lit(1)).alias("n")])
+    return grouping.group(t.events.select(fn.round_(C("value") / 10).alias("value")), ["value"], [F.count(F.lit(1)).alias("n")])
 
 
 @query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS customers, sum(o_totalprice) FILTER (o_totalprice > 100000) IS NOT NULL AS has_large FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")

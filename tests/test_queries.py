@@ -17,6 +17,17 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_group_null_key_rounds_halves_away_from_zero(spark, tmp_path):
+    """Halves of either sign, the largest double below one half, and nulls, against DuckDB."""
+    import duckdb
+
+    values = [5.0, 15.0, 25.0, -5.0, -25.0, 4.9999999999999991, 4.0, None, None]
+    spark.createDataFrame([(v,) for v in values], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert of_spark(QUERIES["group_null_key"](spark, str(tmp_path))) == of_duck(con, ORACLE["group_null_key"])
+
+
 def test_entry(spark):
     import __spark_entry__
 
