@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Edge:
-    """A predicate over two or more sources. ``optional`` names the source on the side that may be missing; none means an inner join."""
+    """A predicate over two or more sources. ``optional`` names the source on the side that may be missing; none means an inner join.
+
+    ``spread`` is for an optional source that meets few keys with many rows each on both sides, so that the result has far more rows than the sides: it names
+    the key's columns among the sources joined before (``"n.key"``), and the join is spread over tasks by shares of those sources' rows."""
 
     sources: tuple[str, ...]
     on: Column
     optional: str | None = None
+    spread: tuple[str, ...] = ()
 
 
 def join_graph(sources: dict[str, DataFrame], edges: Sequence[Edge] = (), filters: dict[str, Column] | None = None) -> DataFrame:
@@ -74,12 +78,32 @@ def join_graph(sources: dict[str, DataFrame], edges: Sequence[Edge] = (), filter
         if ready is None:
             raise ValueError(f"circular optional sources: {waiting}")
         members = {s for s, g in group.items() if g == ready}
-        out = out.join(build(members, inside(members)), _all([e.on for e in edges if e.optional == ready]), "left")
+        tying = [e for e in edges if e.optional == ready]
+        keys = [k for e in tying for k in e.spread]
+        right, on = build(members, inside(members)), _all([e.on for e in tying])
+        out = _spread_join(out, right, on, keys) if keys else out.join(right, on, "left")
         have |= members
         waiting.remove(ready)
     return out
 
 
+#: Rows on the left to a share of a spread join.
+SHARE = 1 << 10
+
+
+def _spread_join(left: DataFrame, right: DataFrame, on: Column, keys: Sequence[str]) -> DataFrame:
+    """A left join in shares. The rows of left are counted (a job while the plan is built) and dealt out evenly, at most about ``SHARE`` to a share, and right's rows
+    are copied to every share; share and key together are the join's key. A task then has some keys of some shares, and there are as many more shares as there are
+    more rows on the left: what a key yields within a share grows with right alone. Up to ``SHARE`` rows it is the plain join."""
+    shares = -(-left.count() // SHARE)
+    if shares <= 1:
+        return left.join(right, on, "left")
+    tasks = max(shares, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = left.repartition(shares).withColumn("__share", F.spark_partition_id()).repartition(tasks, *keys, "__share")
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return dealt.join(copies.hint("merge"), on & (F.col("__share") == F.col("__copy")), "left").drop("__share", "__copy")
+
+
 def _pinned(source: str, edges: Sequence[Edge], optional: set, group: dict) -> bool:
     """Whether a source is tied by an inner edge to sources of which none is in an optional group (so it is required itself)."""
     return any(not e.optional and source in e.sources and not any(s in group for s in e.sources) for e in edges)

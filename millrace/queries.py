@@ -121,7 +121,7 @@ def join_chain_outer(t):
 def join_independent_outer(t):
     return joins.join_graph(
         {"n": t.nation, "s": t.supplier, "c": t.customer},
-        [joins.Edge(("n", "s"), C("s.s_nationkey") == C("n.n_nationkey"), "s"), joins.Edge(("n", "c"), C("c.c_nationkey") == C("n.n_nationkey"), "c")],
+        [joins.Edge(("n", "s"), C("s.s_nationkey") == C("n.n_nationkey"), "s"), joins.Edge(("n", "c"), C("c.c_nationkey") == C("n.n_nationkey"), "c", ("n.n_nationkey",))],
         {"s": C("s_acctbal") > 5000, "c": C("c_acctbal") > 9000},
     ).select("n_name", "s_name", "c_name")
 
