@@ -28,6 +28,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows over all shuffle partitions, for columns that cost far more than their rows' bytes: a file of few splits would keep most cores idle."""
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
 
 def query(sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -503,7 +507,8 @@ def derived_keys(t):
 @query("""SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS short, CAST(date_trunc('minute', o_orderdate) AS TIMESTAMP) AS dashes, CAST(date_trunc('second', o_orderdate) AS TIMESTAMP) AS named, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS spelt, CAST(date_trunc('minute', o_orderdate) - INTERVAL 6 HOUR AS TIMESTAMP) AS east, CAST(date_trunc('minute', o_orderdate) + INTERVAL 90 MINUTE AS TIMESTAMP) AS west, CAST(NULL AS TIMESTAMP) AS junk FROM orders""")
 def convert_datetime(t):
     text = lambda pattern: types.convert("datetime", F.date_format("o_orderdate", pattern))
-    return t.orders.select("o_orderkey", text("M/d/yy").alias("short"), text("M-d-yyyy h:mma").alias("dashes"), text("d MMM yyyy HH:mm:ss").alias("named"), text("MMMM d, yyyy").alias("spelt"), text("yyyy-MM-dd HH:mm '+0600'").alias("east"), text("yyyy-MM-dd HH:mm'-01:30'").alias("west"), types.convert("datetime", C("o_orderpriority")).alias("junk"))
+    rows = t.dealt(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    return rows.select("o_orderkey", text("M/d/yy").alias("short"), text("M-d-yyyy h:mma").alias("dashes"), text("d MMM yyyy HH:mm:ss").alias("named"), text("MMMM d, yyyy").alias("spelt"), text("yyyy-MM-dd HH:mm '+0600'").alias("east"), text("yyyy-MM-dd HH:mm'-01:30'").alias("west"), types.convert("datetime", C("o_orderpriority")).alias("junk"))
 
 
 @query("""SELECT o_orderkey, 1 + day(o_orderdate) - 1 || CASE WHEN day(o_orderdate) IN (1, 21, 31) THEN 'st' WHEN day(o_orderdate) IN (2, 22) THEN 'nd' WHEN day(o_orderdate) IN (3, 23) THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %B %y') AS ordinal, strftime(o_orderdate, '%Y-%-m-%-d %I:%M%p') AS half_day, strftime(o_orderdate, '%I%p %M:%S') AS hour_first, strftime(o_orderdate, '%m/%d/%Y %H:%M:%S') AS numbers FROM orders""")

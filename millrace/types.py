@@ -6,6 +6,8 @@ they are projected. Conversions never fail: text that isn't a number counts as 0
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,31 +54,48 @@ _NAME = f"({'|'.join(MONTHS)})[a-z]*"
 NUMBERS, DAY_FIRST, NAME_FIRST = r"([0-9]{1,4})[/-]([0-9]{1,2})[/-]([0-9]{1,4})", rf"\b([0-9]{{1,2}})[ ,\-]+{_NAME}[ ,\-]+([0-9]{{1,4}})", rf"\b{_NAME} +([0-9]{{1,2}})[ ,]+([0-9]{{1,4}})(?![0-9:])"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it takes it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_datetime(x: Column) -> Column:
     """Text with a date (``3/1/17``, ``2017-03-01``, ``1 Mar 2017``, ``March 1, 2017``) and perhaps a time (``3pm``, ``13:01``, ``1:01:59 PM``) and an offset
     (``+0600``, ``-06:00``). Years of two digits reach ten years into the future. A time with an offset becomes the session's local
-    time. Fractions of seconds are dropped; text without a date, or with an impossible one, is null."""
-    text = F.lower(x)
-    piece = lambda pattern, group: F.regexp_extract(text, pattern, group)
+    time. Fractions of seconds are dropped; text without a date, or with an impossible one, is null.
+
+    Each pattern is looked for once in a text; what it finds is cut up without patterns' groups."""
     number = lambda c: c.try_cast("int")
-    month = lambda c: F.array_position(F.array(*map(F.lit, MONTHS)), c).cast("int")
-    year_first = F.length(piece(NUMBERS, 1)) > 2
-    by_form = lambda numbers, day, name: F.when(text.rlike(NUMBERS), numbers).when(text.rlike(DAY_FIRST), day).when(text.rlike(NAME_FIRST), name)
-    year = by_form(number(F.when(year_first, piece(NUMBERS, 1)).otherwise(piece(NUMBERS, 3))), number(piece(DAY_FIRST, 3)), number(piece(NAME_FIRST, 3)))
-    month_ = by_form(number(F.when(year_first, piece(NUMBERS, 2)).otherwise(piece(NUMBERS, 1))), month(piece(DAY_FIRST, 2)), month(piece(NAME_FIRST, 1)))
-    day = by_form(number(F.when(year_first, piece(NUMBERS, 3)).otherwise(piece(NUMBERS, 2))), number(piece(DAY_FIRST, 1)), number(piece(NAME_FIRST, 2)))
+    month = lambda c: F.array_position(F.array(*map(F.lit, MONTHS)), F.left(c, F.lit(3))).cast("int")
     soon = F.year(F.current_date()) - 2000 + 10
-    year = F.when(year < soon, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    rest = F.regexp_replace(text, "|".join((NUMBERS, DAY_FIRST, NAME_FIRST)), " ")
-    clock, hour_only = r"([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?", r"([0-9]{1,2}) *[ap]m"
-    of = lambda pattern, group: number(F.regexp_extract(rest, pattern, group))
-    hour = F.coalesce(of(clock, 1), of(hour_only, 1), F.lit(0))
-    half = F.regexp_extract(rest, r"[0-9] *([ap])m", 1)
-    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
-    at = F.try_make_timestamp_ntz(year, month_, day, hour, F.coalesce(of(clock, 2), F.lit(0)), F.coalesce(of(clock, 3), F.lit(0)).cast("decimal(8,6)"))
-    offset = r"[0-9m] *([+-])([0-9]{2}):?([0-9]{2}) *$"
-    minutes = (of(offset, 2) * 60 + of(offset, 3)) * F.when(F.regexp_extract(rest, offset, 1) == "-", -1).otherwise(1)
-    return F.when(rest.rlike(offset), F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.timestamp_add("MINUTE", -minutes, at))).otherwise(at)
+    clock, hour_only, offset = r"[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?", r"([0-9]{1,2}) *[ap]m", r"[0-9m] *([+-][0-9]{2}:?[0-9]{2}) *$"
+
+    def dated(text: Column) -> Column:
+        rest = F.regexp_replace(text, "|".join((NUMBERS, DAY_FIRST, NAME_FIRST)), " ")
+        parts_of = lambda date: _let(F.split(date, "[ ,/-]+"), lambda parts: _let(rest, lambda r: _let(F.split(F.regexp_extract(r, clock, 0), ":"), lambda time: local(parts, r, time))))
+        by_name = _let(F.regexp_extract(text, DAY_FIRST, 0), lambda d: F.when(d != "", d).otherwise(F.regexp_extract(text, NAME_FIRST, 0)))
+        date = _let(F.regexp_extract(text, NUMBERS, 0), lambda d: F.when(d != "", d).otherwise(by_name))
+        return _let(date, lambda d: F.when(d != "", parts_of(d)))
+
+    def local(parts: Column, rest: Column, time: Column) -> Column:
+        one, two, three = parts[0], parts[1], parts[2]
+        name_first, day_first, year_first = one >= "a", two >= "a", F.length(one) > 2
+        month_ = F.when(name_first, month(one)).when(day_first, month(two)).otherwise(number(F.when(year_first, two).otherwise(one)))
+        day = number(F.when(name_first, two).when(day_first, one).when(year_first, three).otherwise(two))
+        year = number(F.when(year_first & ~name_first, one).otherwise(three))
+        year = _let(year, lambda y: F.when(y < soon, y + 2000).when(y < 100, y + 1900).otherwise(y))
+        hour = F.coalesce(number(F.get(time, F.lit(0))), number(F.regexp_extract(rest, hour_only, 1)), F.lit(0))
+        half = F.regexp_extract(rest, r"[0-9] *([ap])m", 1)
+        hour = _let(F.struct(hour.alias("h"), half.alias("half")), lambda t: F.when((t["half"] == "p") & (t["h"] < 12), t["h"] + 12).when((t["half"] == "a") & (t["h"] == 12), 0).otherwise(t["h"]))
+        minute, second = (F.coalesce(number(F.get(time, F.lit(i))), F.lit(0)) for i in (1, 2))
+        at = F.try_make_timestamp_ntz(year, month_, day, hour, minute, second.cast("decimal(8,6)"))
+        return _let(at, lambda a: _let(F.regexp_extract(rest, offset, 1), lambda o: F.when(o == "", a).otherwise(to_session(a, o))))
+
+    def to_session(at: Column, o: Column) -> Column:
+        minutes = (number(F.substring(o, 2, 2)) * 60 + number(F.right(o, F.lit(2)))) * F.when(o.startswith("-"), -1).otherwise(1)
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.timestamp_add("MINUTE", -minutes, at))
+
+    return _let(F.lower(x), dated)
 
 
 def convert(kind: str, x: Column, source: str = "string") -> Column:

@@ -157,6 +157,18 @@ def test_datetimes_from_text(spark):
     assert [r[0] and str(r[0]) for r in df.select(types.convert("datetime", F.col("t"))).collect()] == want
 
 
+def test_datetimes_look_for_each_pattern_once(spark, capsys):
+    """Three forms of dates, the rest, clock, hour, half day and offset: one search each, and odd texts as before."""
+    texts = ["2 jan 3/4/2017 5pm", "Sept 3 99 1:2:3 am", "x 5 - Marxyz - 2001 12am", "2017-3-4 7:08\n", "1/2/345", "12/2/34567", "5 may 1 3/4", "31 feb 2017", "1 jan 2017 24:00", "1 jan 2017 12:00 +9999"]
+    want = ["2017-03-04 17:00:00", "1999-09-03 01:02:03", "2001-03-05 00:00:00", "2017-03-04 07:08:00", "0345-01-02 00:00:00", "3456-12-02 00:00:00", "2001-05-05 00:00:00", None, None, "2016-12-28 07:21:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(types.convert("datetime", F.col("t")).alias("d"))
+    shown = [r[0] for r in df.select(F.date_format("d", "yyyy-MM-dd HH:mm:ss")).collect()]
+    assert [a for a, w in zip(shown, want) if a != w] == []
+    capsys.readouterr()
+    df.explain()
+    assert capsys.readouterr().out.count("regexp_") <= 8
+
+
 def test_money_patterns(spark):
     """The whole pattern language, over zero, positive and negative amounts."""
     amounts = [0, 12.5, -12.5, 1234567.891, 0.25]

@@ -51,6 +51,11 @@ def test_join_independent_outer_is_spread(spark, tmp_path, monkeypatch):
     assert sum(sizes) == 800 * 32 + 3 and max(sizes) < 0.6 * sum(sizes)
 
 
+def test_convert_datetime_is_dealt_over_tasks(spark):
+    sizes = [r["count"] for r in QUERIES["convert_datetime"](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1500 and max(sizes) < 750
+
+
 def test_entry(spark):
     import __spark_entry__
 
