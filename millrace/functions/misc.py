@@ -34,18 +34,19 @@ def hash_(algorithm: str, s: Column) -> Column:
 
 def hmac(algorithm: str, s: Column, key: Column) -> Column:
     """The keyed digest in hexadecimal: the digest of the key's outer pad and the digest of its inner pad and the text (RFC 2104). Plain column
-    expressions over the digests that Spark has."""
+    expressions over the digests that Spark has; the key meets its pads in words of eight bytes."""
     size = 128 if algorithm in ("sha384", "sha512") else 64
     raw = F.encode(key, "UTF-8")
-    long_key = F.length(F.hex(raw)) > 2 * size
-    hexed = F.rpad(F.when(long_key, F.upper(hash_(algorithm, raw))).otherwise(F.hex(raw)), 2 * size, "0")
+    long_key = F.length(raw) > size
+    hexed = F.rpad(F.when(long_key, hash_(algorithm, raw)).otherwise(F.hex(raw)), 2 * size, "0")
+    words = [F.conv(F.substring(hexed, i * 16 + 1, 16), 16, -10).cast("long") for i in range(size // 8)]
 
-    def pad(with_: int) -> Column:
-        byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(with_))
-        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+    def pad(byte: str) -> Column:
+        with_ = F.lit(int(byte * 8, 16))
+        return F.unhex(F.concat(*[F.lpad(F.hex(w.bitwiseXOR(with_)), 16, "0") for w in words]))
 
-    inner = hash_(algorithm, F.concat(pad(0x36), F.encode(s, "UTF-8")))
-    return hash_(algorithm, F.concat(pad(0x5C), F.unhex(inner)))
+    inner = hash_(algorithm, F.concat(pad("36"), F.encode(s, "UTF-8")))
+    return hash_(algorithm, F.concat(pad("5C"), F.unhex(inner)))
 
 
 def pbkdf2(algorithm: str, s: Column, salt: Column, rounds: int, size: int) -> Column:

@@ -188,3 +188,16 @@ def test_keyed_digests(spark):
     df = spark.createDataFrame(rows, "k string, t string")
     for algorithm in ("md5", "sha1", "sha256", "sha384", "sha512"):
         assert [r[0] for r in df.select(fn.hmac(algorithm, F.col("t"), F.col("k"))).collect()] == [hmac.new(k.encode(), t.encode(), algorithm).hexdigest() for k, t in rows]
+
+
+def test_keyed_digests_by_words(spark, capsys):
+    """Keys of every length around the blocks, of bytes that meet the pads as zeros, and null ones; no step for each byte of a key."""
+    letters = "6\\\x00\x01\x7f中é\U0001f600aZ"
+    rows = [("".join(letters[(n * 7 + i * i) % len(letters)] for i in range(n)), f"text {n}") for n in (1, 2, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 127, 128, 129, 300)] + [("6" * 64, ""), ("\\" * 64, "x"), ("k" * 64, "y"), ("k" * 65, "y"), ("k" * 128, "y"), ("k" * 129, "y"), (None, "z"), ("k", None)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    for algorithm in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        want = [None if k is None or t is None else hmac.new(k.encode(), t.encode(), algorithm).hexdigest() for k, t in rows]
+        assert [r[0] for r in df.select(fn.hmac(algorithm, F.col("t"), F.col("k"))).collect()] == want
+    capsys.readouterr()
+    df.select(fn.hmac("sha256", F.col("t"), F.col("k"))).explain()
+    assert "transform(" not in capsys.readouterr().out
